@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Names that stand for no account.
 NO_ACCOUNT = ("", "[deleted]", "[removed]", "automoderator")
 
-_EDGE = r"^[\s ​﻿]+|[\s ​﻿]+$"
+_EDGE = r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$"
 
 
 def squeezed(c: Column) -> Column:

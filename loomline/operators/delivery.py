@@ -59,27 +59,24 @@ class SeenRanges:
 
 
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns producer, number, odd, pos, ok: rows that come with ``ok`` false stay so, the others are accepted or not."""
     producers: dict[int, SeenRanges] = {}
     odd: set[str] = set()
     for b in batches:
-        producer = b.column(0).to_numpy(zero_copy_only=False)
-        number = b.column(1).to_numpy(zero_copy_only=False)
+        ok = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
         plain = np.asarray(b.column(1).is_valid())
-        ok = np.zeros(b.num_rows, bool)
-        rows = np.flatnonzero(plain)
+        rows = np.flatnonzero(plain & ok)
         if len(rows):
-            p, n = producer[rows].astype(np.int64), number[rows].astype(np.int64)
+            p = b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = b.column(1).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
             by = np.argsort(p, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(p[by])) + 1):
-                part.sort()
                 ok[rows[part]] = producers.setdefault(int(p[part[0]]), SeenRanges()).accept(n[part])
-        for i in np.flatnonzero(~plain):
+        for i in np.flatnonzero(~plain & ok):
             key = b.column(2)[int(i)].as_py()
             ok[i] = key not in odd
             odd.add(key)
-        yield b.set_column(4, "ok", pa.array(ok)) if b.num_columns > 4 else pa.RecordBatch.from_arrays(
-            [*b.columns, pa.array(ok)], names=[*b.schema.names, "ok"]
-        )
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok)], names=b.schema.names)
 
 
 _OUT = "producer long, number long, odd string, pos long, ok boolean"
@@ -114,14 +111,12 @@ def repeated_deliveries(
     never a repetition; a row without a position is none either. Of rows that agree in identifier and position exactly
     one is kept and the others are repetitions. An empty table gives an empty result. Other columns are not read.
     """
-    keyed = _keyed(df, id_col, pos_col, kind, seq_digits)
+    keyed = _keyed(df, id_col, pos_col, kind, seq_digits).withColumn("ok", F.lit(True))
     once = keyed.sortWithinPartitions("pos").mapInArrow(_accept, _OUT)
-    # Both branches below read the first pass; it is cheap to repeat (three short columns) and needs no shuffle.
-    turned_away = once.where("not ok").select("pos")
-    candidates = once.where("ok").drop("ok")
-    spread = candidates.repartition(F.coalesce(F.col("producer"), F.xxhash64("odd"))).sortWithinPartitions("pos")
-    again = spread.mapInArrow(_accept, _OUT).where("not ok").select("pos")
-    return turned_away.unionAll(again)
+    # Rows turned away already are done with: they are spread evenly, so a hot identifier makes no hot task.
+    to = F.when(F.col("ok"), F.coalesce(F.col("producer"), F.xxhash64("odd"))).otherwise(F.xxhash64("pos"))
+    again = once.repartition(to).sortWithinPartitions("pos").mapInArrow(_accept, _OUT)
+    return again.where("not ok").select("pos")
 
 
 def deliver_once(
