@@ -12,7 +12,7 @@ shuffled by producer and accepted again in order of delivery. Rows turned away i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,10 @@ from loomline.functions.identifiers import full_name
 
 
 class SeenRanges:
-    """Disjoint, closed, ascending ranges of int64 numbers."""
+    """Disjoint, closed, ascending ranges of numbers; those of all producers in one pair of arrays, as blocks don't overlap."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int) -> None:
+        self.bits = bits  # a number's producer is what is left without so many bits
         self.start = np.empty(0, np.int64)
         self.end = np.empty(0, np.int64)
 
@@ -37,15 +38,12 @@ class SeenRanges:
         return (at >= 0) & (n <= self.end[np.maximum(at, 0)])
 
     def add(self, n: np.ndarray) -> None:
-        """Merge ascending, distinct, uncovered numbers, joining ranges that touch."""
+        """Merge ascending, distinct, uncovered numbers, joining a producer's ranges that touch."""
         if not len(n):
             return
-        cut = np.flatnonzero(np.diff(n) > 1) + 1
-        s, e = n[np.r_[0, cut]], n[np.r_[cut - 1, len(n) - 1]]
-        s, e = np.r_[self.start, s], np.r_[self.end, e]
-        by = np.argsort(s, kind="stable")
-        s, e = s[by], e[by]
-        first = np.r_[True, s[1:] > e[:-1] + 1]
+        at = np.searchsorted(self.start, n)
+        s, e = np.insert(self.start, at, n), np.insert(self.end, at, n)
+        first = np.r_[True, (s[1:] > e[:-1] + 1) | (s[1:] >> self.bits != e[:-1] >> self.bits)]
         self.start, self.end = s[first], e[np.r_[np.flatnonzero(first)[1:] - 1, len(e) - 1]]
 
     def accept(self, n: np.ndarray) -> np.ndarray:
@@ -58,31 +56,29 @@ class SeenRanges:
         return ok
 
 
-def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns producer, number, odd, pos, ok: rows that come with ``ok`` false stay so, the others are accepted or not."""
-    producers: dict[int, SeenRanges] = {}
-    odd: set[str] = set()
-    for b in batches:
-        ok = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
-        plain = np.asarray(b.column(1).is_valid())
-        rows = np.flatnonzero(plain & ok)
-        if len(rows):
-            p = b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = b.column(1).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
-            by = np.argsort(p, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(p[by])) + 1):
-                ok[rows[part]] = producers.setdefault(int(p[part[0]]), SeenRanges()).accept(n[part])
-        for i in np.flatnonzero(~plain & ok):
-            key = b.column(2)[int(i)].as_py()
-            ok[i] = key not in odd
-            odd.add(key)
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok)], names=b.schema.names)
+def _acceptor(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over columns number, odd, pos, ok: rows that come with ``ok`` false stay so, the others are accepted or not."""
 
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, odd = SeenRanges(bits), set()
+        for b in batches:
+            ok = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            plain = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(plain & ok)
+            ok[rows] = seen.accept(b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64))
+            for i in np.flatnonzero(~plain & ok):
+                key = b.column(1)[int(i)].as_py()
+                ok[i] = key not in odd
+                odd.add(key)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok)], names=b.schema.names)
 
-_OUT = "producer long, number long, odd string, pos long, ok boolean"
+    return accept
 
 
-def _keyed(df: DataFrame, id_col: str, pos_col: str, kind: str, seq_digits: int) -> DataFrame:
+_OUT = "number long, odd string, pos long, ok boolean"
+
+
+def _keyed(df: DataFrame, id_col: str, pos_col: str, kind: str) -> DataFrame:
     key = full_name(id_col, kind)
     bare = F.regexp_replace(key, rf"^{kind}_", "")
     # canonical: no leading zero and at most twelve digits, so that equal numbers mean equal texts and fit in 64 bits
@@ -91,17 +87,12 @@ def _keyed(df: DataFrame, id_col: str, pos_col: str, kind: str, seq_digits: int)
     return df.select(key.alias("key"), number.alias("number"), F.col(pos_col).cast("long").alias("pos")).where(
         "key is not null and pos is not null"
     ).select(
-        F.shiftright(F.col("number"), _bits(seq_digits)).alias("producer"),
         "number",
         F.when(F.col("number").isNull(), F.col("key")).alias("odd"),
         "pos",
     )
 
 
-def _bits(seq_digits: int) -> int:
-    return int(np.ceil(np.log2(36.0**seq_digits)))
-
-
 def repeated_deliveries(
     df: DataFrame, id_col: str = "id", pos_col: str = "delivery_no", kind: str = "t1", seq_digits: int = 2
 ) -> DataFrame:
@@ -111,11 +102,12 @@ def repeated_deliveries(
     never a repetition; a row without a position is none either. Of rows that agree in identifier and position exactly
     one is kept and the others are repetitions. An empty table gives an empty result. Other columns are not read.
     """
-    keyed = _keyed(df, id_col, pos_col, kind, seq_digits).withColumn("ok", F.lit(True))
-    once = keyed.sortWithinPartitions("pos").mapInArrow(_accept, _OUT)
+    bits = int(np.ceil(np.log2(36.0**seq_digits)))
+    keyed = _keyed(df, id_col, pos_col, kind).withColumn("ok", F.lit(True))
+    once = keyed.sortWithinPartitions("pos").mapInArrow(_acceptor(bits), _OUT)
     # Rows turned away already are done with: they are spread evenly, so a hot identifier makes no hot task.
-    to = F.when(F.col("ok"), F.coalesce(F.col("producer"), F.xxhash64("odd"))).otherwise(F.xxhash64("pos"))
-    again = once.repartition(to).sortWithinPartitions("pos").mapInArrow(_accept, _OUT)
+    to = F.when(F.col("ok"), F.coalesce(F.shiftright("number", bits), F.xxhash64("odd"))).otherwise(F.xxhash64("pos"))
+    again = once.repartition(to).sortWithinPartitions("pos").mapInArrow(_acceptor(bits), _OUT)
     return again.where("not ok").select("pos")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,14 +37,32 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in reliable storage and return it without its lineage.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediates: the cluster's, or where that is unset, as in local tests, one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="loomline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/loomline"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in a local
-    test session, a temporary folder of this machine is used; such a session has a single machine by construction.
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and return the table, which has no lineage.
+
+    All executors can read the folder, so losing one of them loses nothing. The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-ckpt-"))
-    return df.checkpoint(eager=eager)
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(schema).parquet(path)
