@@ -1,0 +1,226 @@
+"""Machine output gone wrong: unfilled template fields, filler text, error pages and notices that scripts are needed.
+
+A record is cut into messages, its lines and sentences. Each message is masked (fields, links, numbers) and goes down a
+prefix tree of fixed depth: by its number of tokens, then by its first ``DEPTH`` tokens, to a leaf. The members of a leaf share
+one template, token by token what they have in common and ``<*>`` where they differ. Templates, not messages, are
+classified, each once, and the verdict goes back to all messages of its leaf by a join. Fields that were never filled are
+found apart, as they turn up in ordinary messages whose template says nothing: there the words around the field decide
+whether a form or bot left it empty or a person writes about one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEPTH = 4
+#: Share of a record's words that must be machine messages for it to *be* an error page, a notice or filler.
+MOST = 0.6
+
+# Names that forms and bots give their fields.
+FIELDS = (
+    "name first_name last_name user username author title thread_title topic subject body text message reason date time year "
+    "city country company product item count number url link id post_id headline summary description email price field value"
+).replace(" ", "|")
+# Spellings of an unfilled field.
+SLOT = "|".join(
+    (
+        r"\{\{[^{}\n]{1,40}\}\}",
+        r"[$#]\{[\w. ]{1,40}\}",
+        r"<%=?[^%\n]{1,40}%>",
+        r"\*\|[\w ]{1,40}\|\*",
+        r"@@\w{1,40}@@",
+        r"\[\[[\w ]{1,40}\]\]",
+        r"%\(\w{1,40}\)s",
+        rf"(?i:%(?:{FIELDS})%)",
+        r"%[A-Z][A-Z_]{2,40}%",
+        r"<<[\w ]{1,40}>>",
+        r"\{[A-Za-z_]\w{0,40}\}",
+        r"\{\d{1,2}\}",
+        r"(?i:\[(?:insert|your) [^\]\n]{1,40}\])",
+        rf"(?i:__(?:{FIELDS})__)",
+        r"(?i:\[object object\])",
+    )
+)
+# What people say around a field they quote or explain.
+ABOUT = (
+    r"(?i)\b(replace|printf|in the code|you can see|still had|in it\b|starts? with|begins? with|form letter|built from|no argument|"
+    r"literally|syntax|exploit|they left|forgot to|look at the|the template|quoted?|typo)\b"
+)
+
+# Words of Latin filler text, old and new.
+LATIN = (
+    "lorem ipsum dolor dolore sit amet consetum adipor elitra sedia tempora veliqua magnis anima culpem cupida exerta laborum mollit "
+    "nostrem pariat quis sunta vollum consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt ut labore magna "
+    "aliqua enim minim veniam nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit "
+    "voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident culpa officia deserunt est et"
+)
+KEYS = "asdf sdfg qwer jkl asdfasdf qwerty hjkl zxcv asdfg dfgh fghj"
+
+_SCRIPT = r"\b(?:java ?-?scripts?|js|scripts?|skripte?)\b"
+_NEEDED = (
+    r"\b(?:enabled?|activer|activar|aktivieren|activez|turn (?:it )?on|switch(?:ed)? (?:on|off)|allow(?:ed)?|requires?|disabled|does not support)\b"
+)
+_PERSON = r"\b(?:i|i'm|my|we|they|their|brain|he|she|who|why|anyone|anybody|said|asked)\b"
+_STATUS = (
+    r"(?:not found|bad gateway|forbidden|gone|gateway time-?out|service unavailable|internal server error|too many requests|bad request|"
+    r"unauthorized|request time-?out|service temporarily unavailable)"
+)
+# Messages of servers and programs that replace a page. They are matched from their first token on.
+ERRORS = (
+    rf"(?:<html><head><title>)?(?:error )?<n>:? {_STATUS}[.!]?(?:$|</title>| <\*>)",
+    r"http error <n>",
+    r"the requested (?:url|address|page) (?:\S+ )*(?:could not be|was not|is not)",
+    r"access denied\.?$",
+    r"you (?:don't|do not) have permission to",
+    r"(?:oops!? ?)$",
+    r"(?:oops!? )?something went wrong on our end\.$",
+    r"please try again in a few minutes\.$",
+    r"the page you were looking for (?:doesn't|does not) exist",
+    r"you may have mistyped the address",
+    r"(?:your )?session (?:has )?expired\.$",
+    r"please log in again to continue",
+    r"your request has been rate limited",
+    r"we(?:'|’)?re down for maintenance",
+    r"upstream connect error or",
+    r"reset reason:",
+    r"traceback \(most recent call last\)",
+    r"file \"\S+\", line <n>, in \S+",
+    r"\w+error: \S+$",
+    r"warning: \w+\(\): ",
+    r"this site (?:can't|can’t|cannot) be reached",
+    r"the server took too long to respond",
+    r"sorry, this content is no longer available",
+    r"\{\"error\": ?\{",
+    r"are you a robot\?$",
+    r"complete the check below to prove",
+    r"erreur ?: la page demandée",
+    r"seite nicht gefunden\.$",
+    r"die angeforderte adresse ist auf diesem server",
+    r"página no encontrada\.?$",
+    r"undefined undefined nan$",
+)
+# Stand-in text of layouts.
+FILLERS = (
+    r"placeholder (?:paragraph|text)\.?$",
+    r"your text goes here\.?$",
+    r"replace this paragraph with your own content",
+    r"sample (?:comment|text|body)\b.*\blayout",
+    r"tbd ?- ?content to be supplied",
+    r"texte d(?:'|’)exemple à remplacer",
+    r"aquí va el contenido",
+    r"texto de relleno\.?$",
+    r"dies ist ein blindtext",
+    r"an dieser stelle steht später",
+    r"test test test please ignore",
+    r"description: todo$",
+    r"(?:insert|type) (?:your )?text here",
+    r"(?:x{2,} ?){2,}$",
+    r"(?:(text|test|blah|content|lorem|placeholder) )(?:\1 ?){3,}$",
+)
+# Lines of a page or bot around its message; they are no case as such.
+CHROME = (
+    r"home \| ",
+    r"sign in \| ",
+    r"© ?all rights reserved",
+    r"skip to content\.?$",
+    r"checking your connection",
+    r"cookies must be enabled too",
+    r"i am a bot",
+    r"contact <slot> with questions",
+    r"\^\(beep boop\)",
+    r"return to the home page",
+    r"thank you for your patience",
+    r"try again in <n> seconds",
+    r"reference #",
+    r"ray (?:<n>|[0-9a-f]+)$",
+    r"back$",
+    r"loading…?$",
+)
+
+
+def _any(patterns: tuple[str, ...]) -> str:
+    return f"^(?:{'|'.join(patterns)})"
+
+
+def _share(tokens: Column, words: str) -> Column:
+    """Share of the tokens that are among ``words``."""
+    listed = F.array(*(F.lit(w) for w in words.split()))
+    plain = F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[^\p{L}]", "")), lambda t: t != "")
+    return F.try_divide(F.size(F.filter(plain, lambda t: F.array_contains(listed, t))), F.size(plain))
+
+
+def _messages(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, message, tokens, leaf)``, one row per line or sentence."""
+    c = F.col(text)
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    parts = F.split(c, r"[\r\n]+|(?<=[.!?…])\s+")
+    m = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(parts).alias("message"))
+    masked = F.regexp_replace("message", SLOT, "<slot>")
+    masked = F.lower(F.regexp_replace(masked, r"https?://\S+", "<url>"))
+    masked = F.regexp_replace(masked, r"(?<![\w<])(?=[0-9a-f]*\d)[0-9a-f]+(?![\w>])", "<n>")
+    tokens = F.filter(F.split(masked, r"\s+"), lambda t: t != "")
+    m = m.withColumn("tokens", tokens).where(F.size("tokens") > 0)
+    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, DEPTH))
+    return m.withColumn("leaf", leaf)
+
+
+def mined_templates(messages: DataFrame) -> DataFrame:
+    """``(leaf, n, template)``: per leaf of the prefix tree its messages and their common tokens, ``<*>`` elsewhere."""
+    at = messages.select("leaf", F.posexplode("tokens").alias("pos", "token"))
+    common = at.groupBy("leaf", "pos").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.count(F.lit(1)).alias("n"))
+    token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
+    # a leaf has as many rows here as its messages have tokens
+    whole = common.groupBy("leaf").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", token.alias("token")))).alias("t"))
+    return whole.select("leaf", "n", F.transform("t", lambda x: x["token"]).alias("template"))
+
+
+def _verdicts(templates: DataFrame) -> DataFrame:
+    """``(leaf, verdict)`` of the templates that say something."""
+    t = F.array_join("template", " ")
+    known = F.filter("template", lambda x: x != "<*>")
+    script = (t.rlike(_SCRIPT) & t.rlike(_NEEDED) & ~t.rlike(_PERSON)) | t.rlike("^turn it on in your browser settings")
+    verdict = (
+        F.when(t.rlike(_any(CHROME)), "chrome")
+        .when(t.rlike(_any(ERRORS)), "error")
+        .when(script, "script")
+        .when(t.rlike(_any(FILLERS)) | (_share(known, LATIN) >= 0.7) | (_share(known, KEYS) >= 0.7), "filler")
+    )
+    return templates.select("leaf", verdict.alias("verdict")).where("verdict is not null")
+
+
+def residue(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, reason)`` of every record that is machine output gone wrong.
+
+    ``field``: it holds an unfilled field of a bot or form. ``error``, ``script``, ``filler``: at least ``MOST`` of its words, not
+    counting page furniture, are messages of that sort. ``key`` must be unique; rows that share one are judged as one. Null,
+    empty and blank texts, deletion marks and short texts are no cases. An empty table gives an empty result.
+    """
+    m = _messages(df, key, text)
+    quoted = F.col("message").rlike(rf"[\"“„'`][^\"”“'`\n]{{0,60}}(?:{SLOT})[^\"”“'`\n]{{0,60}}[\"”“'`]")
+    field = F.col("message").rlike(SLOT) & ~F.col("message").rlike(ABOUT) & ~quoted
+    verdicts = _verdicts(mined_templates(m))
+    j = m.select("key", "leaf", F.size("tokens").alias("words"), field.alias("field")).join(verdicts, "leaf", "left")
+    words = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("words")).otherwise(0))
+    r = j.groupBy("key").agg(
+        F.max("field").alias("field"),
+        F.sum("words").alias("all"),
+        words("chrome").alias("chrome"),
+        words("error").alias("error"),
+        words("script").alias("script"),
+        words("filler").alias("filler"),
+    )
+    machine = F.col("error") + F.col("script") + F.col("filler")
+    most = (machine > 0) & (machine >= MOST * (F.col("all") - F.col("chrome")))
+    largest = F.greatest("error", "script", "filler")
+    reason = F.when(F.col("field"), "field").when(
+        most, F.when(F.col("error") == largest, "error").when(F.col("script") == largest, "script").otherwise("filler")
+    )
+    return r.select("key", reason.alias("reason")).where("reason is not null")
+
+
+def without_residue(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The other records of ``df``, untouched; ``key`` must be unique."""
+    gone = residue(df, key, text).select(F.col("key").alias("__key"))
+    return df.join(gone, df[key] == gone["__key"], "left_anti")
