@@ -65,7 +65,7 @@ def p7_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return terms.ngram_counts(table(spark, d, "empath_scores_full"), max_n=3).where("n_rows > 2")
 
 
-_WORDS = "(select r, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), x -> true) as w from (select row_number() over () as r, text from empath_scores_full where text is not null))"
+_WORDS = "(select r, regexp_extract_all(lower(text), '[a-z0-9]+') as w from (select row_number() over () as r, text from empath_scores_full where text is not null))"
 _GRAMS = " union all ".join(
     f"select r, array_to_string(w[i:i + {n - 1}], ' ') as term from (select r, w, unnest(range(1, len(w) - {n} + 2)) as i from {_WORDS} where len(w) >= {n})"
     for n in (1, 2, 3)

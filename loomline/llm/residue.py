@@ -159,6 +159,7 @@ def _messages(df: DataFrame, key: str, text: str) -> DataFrame:
     m = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(parts).alias("message"))
     masked = F.regexp_replace("message", SLOT, "<slot>")
     masked = F.lower(F.regexp_replace(masked, r"https?://\S+", "<url>"))
+    masked = F.regexp_replace(masked, _SCRIPT, "javascript")  # one spelling, or a leaf would not have it in common
     masked = F.regexp_replace(masked, r"(?<![\w<])(?=[0-9a-f]*\d)[0-9a-f]+(?![\w>])", "<n>")
     tokens = F.filter(F.split(masked, r"\s+"), lambda t: t != "")
     m = m.withColumn("tokens", tokens).where(F.size("tokens") > 0)
@@ -180,7 +181,7 @@ def _verdicts(templates: DataFrame) -> DataFrame:
     """``(leaf, verdict)`` of the templates that say something."""
     t = F.array_join("template", " ")
     known = F.filter("template", lambda x: x != "<*>")
-    script = (t.rlike(_SCRIPT) & t.rlike(_NEEDED) & ~t.rlike(_PERSON)) | t.rlike("^turn it on in your browser settings")
+    script = (t.rlike("javascript") & t.rlike(_NEEDED) & ~t.rlike(_PERSON)) | t.rlike("^turn it on in your browser settings")
     verdict = (
         F.when(t.rlike(_any(CHROME)), "chrome")
         .when(t.rlike(_any(ERRORS)), "error")
