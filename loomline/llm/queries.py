@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import mixing, residue, splits, terms, tokens
+from loomline.llm import mixing, personal, residue, splits, terms, tokens
 from loomline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,18 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "r_conspiracy_comments3"), "line_no", "body").select("line_no", "id", "body")
 
 
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.items(table(spark, d, "empath_scores_full"), "delivery_no")
+    return found.select(F.col("key").alias("delivery_no"), "kind", "nth")
+
+
+@query
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    rows = personal.sanitised(table(spark, d, "empath_scores_full"), "delivery_no")
+    return rows.select(F.col("key").alias("delivery_no"), F.col("clean").alias("text"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = splits.together(table(spark, d, "empath_scores_full"), "delivery_no", "author", "id")
