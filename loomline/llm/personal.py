@@ -354,6 +354,7 @@ def sanitised(df: DataFrame, key: str, text: str = "text", at_hand: int = TERMS_
 def items(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, kind, nth)``: every item, counted per kind within its row from 1."""
     s = sanitised(df, key, text).where(F.size("kinds") > 0)
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.size(F.filter("kinds", lambda x, k=k: x == k)).alias("n")) for k in KINDS))
+    times = lambda k: F.size(F.filter("kinds", lambda x: x == k))
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), times(k).alias("n")) for k in KINDS))
     e = s.select("key", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("e"))
     return e.select("key", F.col("e.kind").alias("kind"), F.explode(F.sequence(F.lit(1), F.col("e.n"))).alias("nth"))
