@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import mixing, personal, residue, splits, terms, tokens
+from loomline.llm import abuse, mixing, personal, residue, splits, terms, tokens
 from loomline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,22 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.explode("categories").alias("category"))
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "source", *abuse.CATEGORIES)
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
