@@ -65,11 +65,11 @@ def wiki_title(url: Column | str) -> Column:
 
 def person_name(c: Column | str, not_names: Sequence[str] = ("admin", "staff", "editor", "guest", "unknown", "anonymous")) -> Column:
     """A by-line's person: without "by", titles, mail addresses and affiliations; null if what is left is no name."""
-    s = F.regexp_replace(col(c), r"(?i)^\s*(?:written |posted )?by[:\s]+", "")
+    s = F.split(F.regexp_replace(col(c), r"(?i)^\s*(?:written |posted )?by[:\s]+", ""), r"\s*[|/(]")[0]
     s = F.regexp_replace(s, r"\S+@\S+", "")
     s = F.regexp_replace(s, r"(?i)^(?:dr|mr|mrs|ms|prof|sir|sen|rep|gov|hon)\.?\s+", "")
-    s = F.regexp_replace(s, r"(?i)[,\s]+(?:ph\.?d|m\.?d|esq|jr|sr|ii|iii)\.?$", "")
-    s = F.trim(F.regexp_replace(F.split(s, r"\s*[|/(]")[0], r"\s+", " "))
+    s = F.regexp_replace(s, r"(?i)[,\s]+(?:ph\.?d|m\.?d|esq|jr|sr|ii|iii)\.?\s*$", "")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
     bad = F.lower(s).isin(*not_names) | (F.length(s) < 3) | s.rlike(r"\d")
     return F.when(~bad, s)
 

@@ -80,7 +80,7 @@ def describe(df: DataFrame) -> DataFrame:
 
 def markdown_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """The body lines of Markdown tables as columns; lines of another width, headings and rules drop out."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     lines = spark.read.text(path).where(F.trim("value").startswith("|")).withColumn("c", cells).where(F.size("c") == len(columns))
     lines = lines.where(~F.forall("c", lambda x: x.rlike(r"^:?-*:?$")) & (F.lower(F.col("c")[0]) != columns[0].lower()))
     return lines.select(*(F.col("c")[i].alias(n) for i, n in enumerate(columns)))
