@@ -30,7 +30,7 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 
 # --- fixed values: forms of items ---------------------------------------------------------------------------------
 # All forms are matched in the lower-cased text. A cheap sign of each form is looked for first, as most texts hold none.
-_AT = r"(?:\s?[@＠]\s?|&#64;|\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+)"
+_AT = r"(?:\s?[@＠]\s?|&#64;|\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+(?!(?:the|an?|this|that|it|its)\b))"
 _DOT = r"(?:\.|\s\.\s|\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+)"
 EMAIL = re.compile(rf"(?<![\w.+-])[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9])){{0,63}}{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9][a-z0-9-]*)*?{_DOT}[a-z]{{2,24}}\b(?!{_DOT}[a-z0-9])")
 
@@ -69,9 +69,10 @@ _NO = (
     r"upvotes|samples|minutes)\b)"
 )
 _UNIT = r"(?:,? ?(?:apt|unit|suite|ste|flat|apartment|no)\.? ?#?\w{1,5}\b|,? ?#\w{1,5})"
+_PLACE = r"(?!(?:on|in|is|was|had|has|before|at|and|for|by|with|that|letzte)\b)[^\W\d_][\w'’-]*"
 _TOWN = (
-    rf"(?P<town>, \d{{4,5}} {_WORD}(?: {_WORD}(?=[.,;|/)\n]))?|, {_WORD}(?: {_WORD})?(?:, [a-z]{{2}}(?: \d{{5}}\b|(?=[.;|/)\n]|$))| \d{{4,5}}\b)"
-    rf"|, {_WORD}(?: {_WORD})?(?=[.,;|/)\n]| - | has\b| had\b| is\b| before\b| on the\b|$))?"
+    rf"(?P<town>, \d{{4,5}} {_PLACE}(?: {_PLACE}(?=[.,;|/)\n]))?|, {_PLACE}(?: {_PLACE})?(?:, [a-z]{{2}}(?: \d{{5}}\b|(?=[.;|/)\n]|$))| \d{{4,5}}\b)"
+    rf"|, {_PLACE}(?: {_PLACE})?(?=[.,;|/)\n]| - | has\b| had\b| is\b| before\b| on\b|$))?"
 )
 _STREETS = (
     # the first sign of each form, and the form; the places before a match are checked apart, so that a search can skip to digits

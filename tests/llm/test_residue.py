@@ -1,0 +1,65 @@
+import pytest
+
+from loomline.llm.residue import residue, without_residue
+
+SCHEMA = "line_no long, body string, key string, reason int"
+CASES = [
+    ("Hi {{ name }}! Thanks for posting in %(subreddit)s. A moderator will look at it soon.", "field"),
+    ("Your post about the map was removed under rule <%= rule %>. Message the moderators if you disagree.", "field"),
+    ("[INSERT TITLE] was posted by *|NAME|* on @@date@@.", "field"),
+    ("This thread has been locked. Reason: [object Object]", "field"),
+    ("HELLO #{TITLE}, YOUR SUBMISSION %(TITLE)S HAS BEEN REMOVED.", "field"),
+    ("Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt.", "filler"),
+    ("Placeholder paragraph. Placeholder paragraph.", "filler"),
+    ("text text text text text text", "filler"),
+    ("asdf qwer asdf sdfg jkl", "filler"),
+    ("404 Not Found", "error"),
+    ("HTTP Error 503: Service Unavailable. The requested URL /x could not be served on this server.", "error"),
+    ("&lt;html&gt;&lt;head&gt;&lt;title&gt;502 Bad Gateway&lt;/title&gt;&lt;/head&gt;&lt;body&gt;&lt;h1&gt;502 Bad Gateway&lt;/h1&gt;&lt;/body&gt;&lt;/html&gt;", "error"),
+    ('Traceback (most recent call last):\n  File "/srv/a.py", line 3, in render\nKeyError: \'x\'', "error"),
+    ("Home | Forum | Log in\nAccess denied. You don't have permission to access this resource. Ray 1f2e3d\n© all rights reserved", "error"),
+    ("Please enable Java  Script to view this page.", "script"),
+    ("You need to enable JS to run this app. Checking your connection…", "script"),
+    ("Bitte aktivieren Sie scripts, um diese Seite zu sehen.", "script"),
+]
+OTHERS = [
+    "Their press release still had {{name}} in it, that is how careful these people are.",
+    'The letter starts with "Dear [INSERT NAME]" so of course it is a form letter.',
+    "printf with %s and no argument, that is how they leaked their own memory.",
+    "In the code you can see ${path} is built from user input, that is the whole exploit.",
+    "Access denied is what the door said, so we went around the back.",
+    "Please enable your brain before you enable javascript on a site like that.",
+    "I browse with javascript disabled, so I never saw the popup you mention.",
+    "Half of that report reads like lorem ipsum, did anybody proofread it?",
+    "Anyone else getting 503 service unavailable on the archive?",
+    "[deleted]",
+    "[removed]",
+    "",
+    "   ",
+    "this",
+    None,
+    "👍",
+    "I am a bot and this action was performed automatically.",
+]
+
+
+def test_cases_and_decoys(spark):
+    bodies = [b for b, _ in CASES] + OTHERS
+    df = spark.createDataFrame([(i, b, "clash", 1) for i, b in enumerate(bodies)], SCHEMA).repartition(3)
+    got = {r["key"]: r["reason"] for r in residue(df, "line_no", "body").collect()}
+    assert got == {i: r for i, (_, r) in enumerate(CASES)}
+    rest = without_residue(df, "line_no", "body")
+    assert rest.columns == df.columns and {r["body"] for r in rest.collect()} == set(OTHERS)
+
+
+@pytest.mark.parametrize("wrap", [str.upper, lambda s: f"\n\n{s}\n\n", lambda s: s + "\n\nI am a bot and this action was performed automatically.", lambda s: s.replace(" ", "  ")])
+def test_spelling_and_furniture(spark, wrap):
+    df = spark.createDataFrame([(i, wrap(b), "", 0) for i, (b, r) in enumerate(CASES) if r != "field" and "<" not in b and "&lt" not in b], SCHEMA)
+    assert residue(df, "line_no", "body").count() == df.count()
+
+
+def test_very_long_and_empty(spark):
+    long_ = "word and other words. " * 30_000
+    df = spark.createDataFrame([(1, long_ + "Hello {{ name }}, welcome.", "", 0), (2, long_, "", 0)], SCHEMA)
+    assert [r["key"] for r in residue(df, "line_no", "body").collect()] == [1]
+    assert residue(df.limit(0), "line_no", "body").count() == 0
