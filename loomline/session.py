@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +36,35 @@ def build_session(app: str = "loomline", cpus: int | None = None, **conf: str) -
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application, by way of the shared folder.
+
+    A cluster need not have it installed, nor start its workers where the driver was started.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    path = f"{_shared_folder(spark)}/{sc.applicationId}/loomline.zip"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    atexit.register(_remove, spark, path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``base`` (a file or a directory of parts)."""
+    ship_package(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
