@@ -2,11 +2,11 @@ import os
 
 import pytest
 
-from loomline.plans import analysis, domain, problems, relational
+from loomline.plans import analysis, domain, more, problems, relational
 from tests.differential import connect, same
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (problems, relational, domain, analysis)
+MODULES = (problems, relational, domain, analysis, more)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
