@@ -47,6 +47,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the archive's times are UTC, wherever the driver runs
     root = Path(__file__).parent
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
