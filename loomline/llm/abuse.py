@@ -30,6 +30,8 @@ BACKGROUND, BACKGROUND_WEIGHT = 6_000, 0.3
 BUCKETS, DIMS, FILTERS, WIDTHS, LONGEST = 1 << 15, 20, 28, (1, 2, 3, 5), 36
 #: Labelled documents of a language, and with a category, from which on it has thresholds of its own.
 OWN_THRESHOLD, OWN_POSITIVE = 150, 25
+#: Texts of the sample, the background included, that a word must stand in to be told from other rare words.
+LEAST_TEXTS, RARE = 3, "<rare>"
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
@@ -99,6 +101,7 @@ class Model:
     head_bias: np.ndarray
     thresholds: dict[str, list[float]] = field(default_factory=dict)
     ids: dict[str, int] = field(default_factory=dict)
+    known: frozenset[str] = frozenset()
 
     def encode(self, text: str) -> list[list[int]]:
         out = []
@@ -108,7 +111,8 @@ class Model:
                 if (i := self.ids.get(w)) is None:
                     if len(self.ids) > 300_000:
                         self.ids.clear()
-                    i = self.ids[w] = bucket(self.lexicon.plain(w))
+                    p = self.lexicon.plain(w)
+                    i = self.ids[w] = bucket(p if p in self.known else RARE)  # what was hardly met says nothing of its own
                 row.append(i)
             out.append(row)
         return out
@@ -213,6 +217,8 @@ def fit(texts: list[str], labels: list[list[str]], langs: list[str], background:
     held = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 5 == 0 for t in texts])
     if len(texts) < 100:
         held[:] = False
+    met = Counter(p for t in [*texts, *background] for p in {lexicon.plain(w) for x in sentences(t) for w in x})
+    m.known = frozenset(w for w, n in met.items() if n >= LEAST_TEXTS)
     docs = [m.encode(t) for t in [*texts, *background]]
     known = np.r_[~held, np.ones(len(background), bool)]
     train = np.array([i for i in np.flatnonzero(known) if docs[i]])
@@ -292,7 +298,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     # between the gap's ends on the scale of odds, not beyond what plain scores mean
     z = (np.log(p[i] / (1 - p[i] + 1e-9) + 1e-9) + np.log(low / (1 - low + 1e-9) + 1e-9)) / 2
     n = y.sum()  # few cases say little, and the threshold stays near the middle
-    return float(np.clip((n / (1 + np.exp(-z)) + 20 * 0.5) / (n + 20), 0.25, 0.8))
+    return float(np.clip((n / (1 + np.exp(-z)) + 40 * 0.5) / (n + 40), 0.25, 0.8))
 
 
 def _calibrate(m: Model, texts: list[str], y: np.ndarray, weight: np.ndarray, langs: np.ndarray, held: np.ndarray) -> None:
