@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.identifiers import full_name
+from loomline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -78,11 +79,11 @@ def _judged_groups(refs: DataFrame, facts: DataFrame, heavy_share: int) -> DataF
     groups = refs.groupBy("src_table", "wanted", "key", "period").agg(
         F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")
     )
+    groups = cut_lineage(groups)  # read several times below; the tables themselves are then not read again
+    facts = cut_lineage(facts)
     per_key = groups.groupBy("key").agg(F.sum("n").alias("n_key"))
-    total = groups.agg(F.sum("n").alias("n_all"))
-    heavy = (
-        per_key.join(F.broadcast(total), F.col("n_key") * heavy_share > F.col("n_all")).select("key")
-    )  # fewer than heavy_share rows, whatever the input
+    total = groups.agg(F.sum("n")).scalar()
+    heavy = cut_lineage(per_key.where(F.col("n_key") * heavy_share > total).select("key"))  # fewer than heavy_share rows, whatever the input
     heavy_facts = heavy.join(facts, "key", "left")
     of_heavy = groups.join(F.broadcast(heavy_facts), "key")
     of_rest = groups.join(F.broadcast(heavy), "key", "left_anti").join(facts, "key", "left")
