@@ -128,7 +128,7 @@ _OLS = (
 )
 
 
-@query(f"with m as ({_OLS}) select 'char_length' as variable, round(coef, 8) as coef, round(sqrt((1 - r2) * syy / (n - 2) / sxx), 8) as se, n as n_obs from m")
+@query(f"with m as ({_OLS}) select 'char_length' as variable, round(coef, 8) as coef, round(sqrt((1 - r2) * syy / (n - 2) / sxx), 8) as se, cast(n as bigint) as n_obs from m")
 def ols_naive(spark: SparkSession, d: str) -> DataFrame:
     t = S.fitted_table(table(spark, d, EMPATH), "upvotes ~ char_length").where("variable = 'char_length'")
     return t.select("variable", F.round("coef", 8).alias("coef"), F.round("se", 8).alias("se"), "n_obs")

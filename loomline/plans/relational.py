@@ -52,7 +52,7 @@ def prj_safe_cast_live(spark: SparkSession, d: str) -> DataFrame:
         "line_no",
         "id",
         T.whole_number("controversiality").alias("controversiality"),
-        F.length("body").alias("char_length"),
+        F.length("body").cast("long").alias("char_length"),
         F.contains("body", F.lit("http")).cast("int").alias("has_link"),
     )
 
