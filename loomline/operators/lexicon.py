@@ -16,9 +16,9 @@ def lexicon_scores(df: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]
     """``df`` with ``<category>_count`` per category: how many of its terms stand in the text.
 
     A term counts once however often it occurs, a term listed twice counts twice. Hyphens and apostrophes in a term are
-    spaces; a term with an underscore never matches unless ``underscores`` makes them spaces too. All is one projection:
-    the text's n-grams are built once and met with each category's terms as a set, so nothing is shuffled and nothing
-    searched term by term. Null texts score 0.
+    spaces; a term with an underscore never matches unless ``underscores`` makes them spaces too. All is one projection
+    without a shuffle: the text's tokens are met with each category's single words as a set; only the few terms of several
+    words are searched for one by one. Null texts score 0.
     """
 
     def form(term: str) -> str:
@@ -26,30 +26,20 @@ def lexicon_scores(df: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]
         return t.replace("_", " ") if underscores else t
 
     terms = {c: Counter(form(t) for t in own) for c, own in lexicon.items()}
-    lengths = sorted({t.count(" ") + 1 for own in terms.values() for t in own})
-    tokens = F.split(F.substring(spaced(text), 2, 1 << 30), " ")  # empty tokens stay: a double space parts a phrase
-    grams = None
-    for n in lengths:
-        if n == 1:
-            g = F.col("__tokens")
-        else:
-            at = F.sequence(F.lit(1), F.greatest(F.size("__tokens") - n + 1, F.lit(1)))
-            g = _grams(at, n)
-        grams = g if grams is None else F.concat(grams, g)
-    out = df.withColumn("__tokens", F.coalesce(tokens, F.array().cast("array<string>")))
-    out = out.withColumn("__grams", grams if grams is not None else F.array().cast("array<string>"))
+    out = df.withColumn("__clean", F.coalesce(spaced(text), F.lit(" ")))
+    out = out.withColumn("__tokens", F.split("__clean", " "))
     for c, own in terms.items():
         total: Column = F.lit(0)
         for times in range(1, max(own.values(), default=0) + 1):
             layer = [t for t, k in own.items() if k >= times and t.strip()]
-            if layer:
-                total = total + F.size(F.array_intersect(F.array(*(F.lit(t) for t in layer)), F.col("__grams")))
+            single = [t for t in layer if " " not in t]
+            if single:
+                total = total + F.size(F.array_intersect(F.array(*(F.lit(t) for t in single)), F.col("__tokens")))
+            for t in layer:
+                if " " in t:  # a double space in the text parts a phrase, as it parts words
+                    total = total + F.contains("__clean", F.lit(f" {t} ")).cast("int")
         out = out.withColumn(f"{c}_count", total.cast("int"))
-    return out.drop("__tokens", "__grams")
-
-
-def _grams(at: Column, n: int) -> Column:
-    return F.transform(at, lambda i: F.array_join(F.slice("__tokens", i, n), " "))
+    return out.drop("__clean", "__tokens")
 
 
 def like_scores(df: DataFrame, text: str, patterns: Mapping[str, Sequence[str]]) -> DataFrame:
