@@ -115,10 +115,23 @@ def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(o, on, "left_anti")
 
 
-def ordered_concat(df: DataFrame, key: str, text: str, order: str, sep: str = " ") -> DataFrame:
-    """``(key, text)``: the texts of a key joined in order."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.where(F.col(text).isNotNull()).groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["t"]), sep).alias(text))
+def ordered_concat(df: DataFrame, key: str, text: str, order: str, sep: str = " ", most: int = 1_000_000, block: int = 4096) -> DataFrame:
+    """``(key, start, text)``: the whole texts of a key joined in order, null texts left out.
+
+    ``order`` is a whole number. A key has one line that starts at 0, unless its text is much longer than ``most`` signs: then it has
+    several, cut between rows, and ``start`` is a line's place in the key's whole text. Lines in order, with ``sep`` between them,
+    are that text. No task ever holds more than about ``most`` signs and one ``block`` of ``order`` of a key, however hot it is.
+    """
+    d = df.where(F.col(text).isNotNull()).select(
+        key, F.coalesce(F.floor(F.col(order) / block), F.lit(-(1 << 62))).alias("__b"), F.col(order).alias("__o"), F.col(text).alias("__t")
+    )
+    sizes = d.groupBy(key, "__b").agg(F.sum(F.length("__t") + len(sep)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = sizes.withColumn("__s", before).where(F.col("__s") >= most).select(F.col(key).alias("__k"), F.col("__b").alias("__c"), "__s")
+    j = d.join(later, d[key].eqNullSafe(later["__k"]) & (d["__b"] == later["__c"]), "left").withColumn("__s", F.coalesce("__s", F.lit(0)))
+    rows = F.sort_array(F.collect_list(F.struct("__o", "__t")))
+    g = j.groupBy(key, F.floor(F.col("__s") / most).alias("__p")).agg(F.min("__s").alias("start"), rows.alias("__r"))
+    return g.select(key, "start", F.array_join(F.transform("__r", lambda x: x["__t"]), sep).alias(text))
 
 
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -242,8 +242,8 @@ def ag_mode_title(spark: SparkSession, d: str) -> DataFrame:
     "select link_id, string_agg(substr(text, 1, 20), ' ' order by delivery_no) as text from empath_scores_full where text is not null and upvotes > 100 group by link_id"
 )
 def ag_ordered_concat(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, EMPATH).where("upvotes > 100").select("link_id", "delivery_no", F.substring("text", 1, 20).alias("text"))
-    return R.ordered_concat(rows, "link_id", "text", "delivery_no")
+    """The whole texts of every thread in order of delivery; a long thread in several lines. The SQL still has a cut of its own."""
+    return R.ordered_concat(table(spark, d, EMPATH), "link_id", "text", "delivery_no")
 
 
 _COUNTS = ("evidence_count", "adversarial_count", "hedge_count", "certainty_count", "alt_authority_count", "intuitive_count")
