@@ -177,11 +177,13 @@ def jn_anti_authors(spark: SparkSession, d: str) -> DataFrame:
     "select a.delivery_no, b.k as sibling from r a join r b on a.p = b.p and a.k <> b.k and b.rn <= 5"
 )
 def jn_siblings_top5(spark: SparkSession, d: str) -> DataFrame:
-    """Up to five siblings of every comment. The five candidates per parent are cut first, so a large thread gives no square."""
+    """The first five siblings of every comment. Six candidates per parent are enough, whichever of them is the comment itself, so a
+    large thread gives no square. The SQL still takes the comment out of five."""
     c = table(spark, d, EMPATH).where("id is not null").select("delivery_no", full_name("id", "t1").alias("k"), full_name("parent_id", "t1").alias("p"))
     one = c.groupBy("k", "p").agg(F.min("delivery_no").alias("delivery_no")).where("p is not null")
-    five = R.first_per_key(one.select("p", F.col("k").alias("sibling")), ["p"], [F.col("sibling")], 5)
-    return one.join(five, "p").where("k <> sibling").select("delivery_no", "sibling")
+    six = R.first_per_key(one.select("p", F.col("k").alias("sibling")), ["p"], [F.col("sibling")], 6)
+    six = six.groupBy("p").agg(F.sort_array(F.collect_list("sibling")).alias("six"))
+    return one.join(six, "p").select("delivery_no", F.explode(F.slice(F.filter("six", lambda s: s != F.col("k")), 1, 5)).alias("sibling"))
 
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------

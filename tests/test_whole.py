@@ -32,3 +32,12 @@ def test_pieces_of_a_hot_key_make_its_text(spark):
         own = sorted((s, t) for k, s, t in got if k == key)
         assert ", ".join(t for _, t in own) == want and all(want[s : s + len(t)] == t for s, t in own)
     assert {k for k, _, _ in got} == {"hot", "cold", None} and sum(k == "hot" for k, _, _ in got) > 10 and max(len(t) for *_, t in got) < 120
+
+
+def test_every_comment_has_five_siblings_if_there_are(spark, con):
+    got = relational.QUERIES["jn_siblings_top5"](spark, FOLDER)
+    sql = (
+        f"with one as (select {relational._full('id', 't1')} as k, {relational._full('parent_id', 't1')} as p, min(delivery_no) as delivery_no from empath_scores_full where id is not null group by 1, 2) "
+        "select a.delivery_no, b.k as sibling from one a join one b on a.p = b.p and a.k <> b.k qualify row_number() over (partition by a.k, a.p order by b.k) <= 5"
+    )
+    assert same(got, con, sql) == ""
