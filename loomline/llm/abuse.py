@@ -25,13 +25,9 @@ from pyspark.sql import functions as F
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Labelled documents that the classifier is fitted on at most; a seeded hash chooses them if there are more.
 SAMPLE = 12_000
-#: Unlabelled documents, chosen alike, that are shown as background with little weight: few of them are cases.
-BACKGROUND, BACKGROUND_WEIGHT = 6_000, 0.3
 BUCKETS, DIMS, FILTERS, WIDTHS, LONGEST = 1 << 15, 20, 28, (1, 2, 3, 5), 36
 #: Labelled documents of a language, and with a category, from which on it has thresholds of its own.
 OWN_THRESHOLD, OWN_POSITIVE = 150, 25
-#: Texts of the sample, the background included, that a word must stand in to be told from other rare words.
-LEAST_TEXTS, RARE = 3, "<rare>"
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
@@ -101,7 +97,6 @@ class Model:
     head_bias: np.ndarray
     thresholds: dict[str, list[float]] = field(default_factory=dict)
     ids: dict[str, int] = field(default_factory=dict)
-    known: frozenset[str] = frozenset()
 
     def encode(self, text: str) -> list[list[int]]:
         out = []
@@ -111,8 +106,7 @@ class Model:
                 if (i := self.ids.get(w)) is None:
                     if len(self.ids) > 300_000:
                         self.ids.clear()
-                    p = self.lexicon.plain(w)
-                    i = self.ids[w] = bucket(p if p in self.known else RARE)  # what was hardly met says nothing of its own
+                    i = self.ids[w] = bucket(self.lexicon.plain(w))
                 row.append(i)
             out.append(row)
         return out
@@ -190,7 +184,7 @@ def _lexicon(texts: list[list[list[str]]], y: np.ndarray) -> tuple[Lexicon, dict
     return Lexicon(marked), odds
 
 
-def fit(texts: list[str], labels: list[list[str]], langs: list[str], background: list[str] = (), seed: int = 0) -> Model:
+def fit(texts: list[str], labels: list[list[str]], langs: list[str], seed: int = 0) -> Model:
     """The classifier of a labelled sample; without any labelled text it scores everything low."""
     rng = np.random.default_rng(seed)
     y, weight = _targets(labels)
@@ -210,24 +204,19 @@ def fit(texts: list[str], labels: list[list[str]], langs: list[str], background:
             head[g * FILTERS + c : (g + 1) * FILTERS : len(CATEGORIES) + 1, c] += 0.15
     m = Model(lexicon, embed, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], head, np.full(len(CATEGORIES), -2.0, np.float32))
     m.thresholds[""] = [0.5] * len(CATEGORIES)
-    if not len(texts) or not y.any():
+    if not y[[bool(w) for w in words]].any():
         m.head[:] = 0
         m.head_bias[:] = -6
         return m
     held = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 5 == 0 for t in texts])
     if len(texts) < 100:
         held[:] = False
-    met = Counter(p for t in [*texts, *background] for p in {lexicon.plain(w) for x in sentences(t) for w in x})
-    m.known = frozenset(w for w, n in met.items() if n >= LEAST_TEXTS)
-    docs = [m.encode(t) for t in [*texts, *background]]
-    known = np.r_[~held, np.ones(len(background), bool)]
-    train = np.array([i for i in np.flatnonzero(known) if docs[i]])
-    all_y = np.concatenate([y, np.zeros((len(background), len(CATEGORIES)), np.float32)])
-    all_weight = np.concatenate([weight, np.full((len(background), len(CATEGORIES)), BACKGROUND_WEIGHT, np.float32)])
-    # a third each of what is shown has a category, is labelled none, or is background
-    sort = np.where(train >= len(texts), 2, np.where(all_y[train].max(1) > 0, 0, 1))
-    share = np.array([1 / max(1, (sort == k).sum()) for k in range(3)])[sort]
-    _train(m, docs, train, share / share.sum(), all_y, all_weight, rng)
+    docs = [m.encode(t) for t in texts]
+    train = np.array([i for i in np.flatnonzero(~held) if docs[i]], int)
+    # half of what is shown has a category, half is labelled none
+    sort = np.where(y[train].max(1) > 0, 0, 1)
+    share = np.array([1 / max(1, (sort == k).sum()) for k in range(2)])[sort]
+    _train(m, docs, train, share / share.sum(), y, weight, rng)
     m.ids.clear()
     _calibrate(m, texts, y, weight, np.array(langs), held if held.any() else np.ones(len(texts), bool))
     return m
@@ -236,8 +225,7 @@ def fit(texts: list[str], labels: list[list[str]], langs: list[str], background:
 def _train(m: Model, docs: list[list[list[int]]], train: np.ndarray, share: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
     params = [m.embed, *m.filters, *m.bias, m.head, m.head_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    labelled = int((weight[train].max(1) > BACKGROUND_WEIGHT).sum())
-    steps = int(np.clip(labelled / 4, 150, 800))
+    steps = int(np.clip(len(train) / 4, 150, 800))
     mean, kept = [np.zeros_like(p) for p in params], 0
     for step in range(1, steps + 1):
         own = rng.choice(train, 48, p=share)
@@ -327,9 +315,7 @@ def fit_labels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, se
     l = l.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     d = documents.where(F.col("text").isNotNull()).select("doc_id", "text", language("lang").alias("lang"))
     rows = d.join(l, "doc_id").orderBy("doc_id", "text").limit(2 * sample).toPandas()
-    plain = d.select("doc_id").join(l, "doc_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(BACKGROUND)
-    other = d.join(plain, "doc_id").orderBy("doc_id", "text").limit(2 * BACKGROUND).select("text").toPandas()
-    return fit(rows["text"].tolist(), [list(x) for x in rows["labels"]], rows["lang"].tolist(), other["text"].tolist(), seed)
+    return fit(rows["text"].tolist(), [list(x) for x in rows["labels"]], rows["lang"].tolist(), seed)
 
 
 def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
