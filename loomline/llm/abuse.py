@@ -26,8 +26,6 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 #: Labelled documents that the classifier is fitted on at most; a seeded hash chooses them if there are more.
 SAMPLE = 12_000
 BUCKETS, DIMS, FILTERS, WIDTHS, LONGEST = 1 << 15, 20, 28, (1, 2, 3, 5), 36
-#: Labelled documents of a language, and with a category, from which on it has thresholds of its own.
-OWN_THRESHOLD, OWN_POSITIVE = 150, 25
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
@@ -272,10 +270,10 @@ def _train(m: Model, docs: list[list[list[int]]], train: np.ndarray, share: np.n
         q[:] = a
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Threshold of the best weighted F1, in the middle of the gap it lies in."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray, middle: float = 0.5) -> float:
+    """Threshold of the best weighted F1, in the middle of the gap it lies in; the fewer cases, the nearer to ``middle``."""
     if not y.any():
-        return 0.5
+        return middle
     by = np.argsort(-p)
     p, y, weight = p[by], y[by], weight[by]
     hit, shown = np.cumsum(y * weight), np.cumsum(weight)
@@ -285,8 +283,8 @@ def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     low = p[i + 1] if i + 1 < len(p) else 0.0
     # between the gap's ends on the scale of odds, not beyond what plain scores mean
     z = (np.log(p[i] / (1 - p[i] + 1e-9) + 1e-9) + np.log(low / (1 - low + 1e-9) + 1e-9)) / 2
-    n = y.sum()  # few cases say little, and the threshold stays near the middle
-    return float(np.clip((n / (1 + np.exp(-z)) + 40 * 0.5) / (n + 40), 0.25, 0.8))
+    n = y.sum()  # few cases say little
+    return float(np.clip((n / (1 + np.exp(-z)) + 40 * middle) / (n + 40), 0.25, 0.8))
 
 
 def _calibrate(m: Model, texts: list[str], y: np.ndarray, weight: np.ndarray, langs: np.ndarray, held: np.ndarray) -> None:
@@ -294,12 +292,10 @@ def _calibrate(m: Model, texts: list[str], y: np.ndarray, weight: np.ndarray, la
     p = m.scores([texts[i] for i in at])
     whole = [_best_threshold(p[:, c], y[at, c], weight[at, c]) for c in range(len(CATEGORIES))]
     m.thresholds[""] = whole
-    for lang in np.unique(langs[at]):
+    for lang in sorted({*langs[at]} - {""}):
         own = langs[at] == lang
-        if own.sum() >= OWN_THRESHOLD:
-            m.thresholds[str(lang)] = [
-                _best_threshold(p[own, c], y[at, c][own], weight[at, c][own]) if y[at, c][own].sum() >= OWN_POSITIVE else whole[c] for c in range(len(CATEGORIES))
-            ]
+        m.thresholds[str(lang)] = [_best_threshold(p[own, c], y[at, c][own], weight[at, c][own], whole[c]) for c in range(len(CATEGORIES))]
+
 
 
 def language(c: Column | str) -> Column:
