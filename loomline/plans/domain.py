@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
 from loomline.functions.identifiers import full_name
 from loomline.operators import lexicon as L
 from loomline.operators import population as P
@@ -96,12 +97,25 @@ def word_lift(spark: SparkSession, d: str) -> DataFrame:
     "select author, sum(n * freq) / (sqrt(sum(n * n)) * (select sqrt(sum(freq * freq)) from base)) as cosine from k join base using (word) group by author"
 )
 def lexical_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of active authors' words with the archive's most frequent words."""
-    rows = table(spark, d, EMPATH).select("author", "text")
-    base = L.word_counts(rows, "text", 3)
-    base = R.shares(base, "n", "freq").orderBy(F.desc("n"), "word").limit(500)
-    active = rows.where("author is not null").groupBy("author").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("author")
-    return L.cosine_to_baseline(L.word_counts(rows.join(active, "author", "left_semi"), "text", 3, ["author"]), base, ["author"])
+    """Per author and month of at least five live comments the cosine with that month's words. The SQL still has 500 words of all time."""
+    rows = _live_by_month(spark, d)
+    active = P.real_authors(rows).groupBy("author", "month").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("author", "month")
+    return _monthly_cosine(rows, rows.join(active, ["author", "month"], "left_semi"))
+
+
+def _live_by_month(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, EMPATH).where(T.is_live("text") & F.col("created_utc").isNotNull())
+    return rows.select("author", F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("month"), "text")
+
+
+def _monthly_cosine(rows: DataFrame, scored: DataFrame, top: int = 5000) -> DataFrame:
+    """``(author, month, cosine)``: of the words of ``scored`` with the month's ``top`` most frequent words in ``rows``."""
+    own = L.word_counts(scored, "text", 3, ["author", "month"])
+    month = R.first_per_key(L.word_counts(rows, "text", 3, ["month"]), ["month"], [F.desc("n"), F.col("word")], top)
+    norm = month.groupBy("month").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    j = own.join(month.select("month", "word", F.col("n").alias("w")), ["month", "word"])
+    g = j.groupBy("author", "month").agg(F.sum(F.col("n") * F.col("w")).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("own"))
+    return g.join(norm, "month").select("author", "month", F.try_divide(F.col("dot"), F.col("own") * F.col("norm")).alias("cosine"))
 
 
 @query()
@@ -110,13 +124,7 @@ def lifecycle_alignment(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, EMPATH).where("author is not null and created_utc is not null")
     rows = rows.select("author", F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("month"), "text")
     long_ = rows.groupBy("author").agg(F.countDistinct("month").alias("m"), F.count(F.lit(1)).alias("n")).where("m >= 12 and n > 50").select("author")
-    own = L.word_counts(rows.join(long_, "author", "left_semi"), "text", 3, ["author", "month"])
-    month = L.word_counts(rows, "text", 3, ["month"])
-    month = R.first_per_key(month, ["month"], [F.desc("n"), F.col("word")], 1000)
-    norm = month.groupBy("month").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    j = own.join(month.select("month", "word", F.col("n").alias("w")), ["month", "word"])
-    g = j.groupBy("author", "month").agg(F.sum(F.col("n") * F.col("w")).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("own"))
-    return g.join(norm, "month").select("author", "month", F.try_divide(F.col("dot"), F.col("own") * F.col("norm")).alias("cosine"))
+    return _monthly_cosine(rows, rows.join(long_, "author", "left_semi"))
 
 
 @query()

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from loomline.operators import relational as R
-from loomline.plans import relational
+from loomline.plans import domain, relational
 from tests.differential import connect, plain, same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +41,31 @@ def test_every_comment_has_five_siblings_if_there_are(spark, con):
         "select a.delivery_no, b.k as sibling from one a join one b on a.p = b.p and a.k <> b.k qualify row_number() over (partition by a.k, a.p order by b.k) <= 5"
     )
     assert same(got, con, sql) == ""
+
+
+_MONTHLY = """with e as (select author, strftime(to_timestamp(created_utc) at time zone 'UTC', '%Y-%m') as month, text from empath_scores_full where created_utc is not null and {rows}),
+w as (select author, month, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from e), c as (select month, word, count(*) as w from w where length(word) > 2 group by 1, 2),
+b as (select * from c qualify row_number() over (partition by month order by w desc, word) <= 5000), norm as (select month, sqrt(sum(w * w)) as norm from b group by 1),
+k as (select author, month, word, count(*) as n from w semi join ({chosen}) using ({keys}) where length(word) > 2 group by 1, 2, 3)
+select author, month, sum(n * w) / (sqrt(sum(n * n)) * any_value(norm)) as cosine from k join b using (month, word) join norm using (month) group by 1, 2"""
+
+
+def test_lexical_alignment_by_month_and_5000_words(spark, con):
+    real = "author not in ('[deleted]', '[removed]', 'AutoModerator')"
+    sql = _MONTHLY.format(rows="text is not null and text not in ('[deleted]', '[removed]')", chosen=f"select author, month from e where {real} group by 1, 2 having count(*) >= 5", keys="author, month")
+    assert same(domain.QUERIES["lexical_alignment"](spark, FOLDER), con, sql) == ""
+
+
+def test_monthly_cosine_uses_5000_words(spark):
+    rows = [("b", "2020-01", " ".join(f"w{i:04d} w{i:04d}" for i in range(4999))), ("a", "2020-01", "w4000 w4996 yyy zzz")]
+    df = spark.createDataFrame(rows, "author string, month string, text string")
+    got = {r["author"]: r["cosine"] for r in domain._monthly_cosine(df, df).collect()}  # yyy is the 5,000th word, zzz the next
+    assert got["a"] == pytest.approx((3 + 3 + 1) / (3 * (4997 * 4 + 9 + 9 + 1)) ** 0.5)
+
+
+
+def test_lifecycle_alignment(spark, con):
+    folder = "/root/testdata/sf0.1"
+    con = connect(folder)
+    sql = _MONTHLY.format(rows="author is not null", chosen="select author from e group by 1 having count(distinct month) >= 12 and count(*) > 50", keys="author")
+    assert same(domain.QUERIES["lifecycle_alignment"](spark, folder), con, sql) == ""
