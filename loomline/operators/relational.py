@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key by ``order``, which should end in a unique column."""
@@ -134,6 +136,22 @@ def ordered_concat(df: DataFrame, key: str, text: str, order: str, sep: str = "
     return g.select(key, "start", F.array_join(F.transform("__r", lambda x: x["__t"]), sep).alias(text))
 
 
+def skew_join(left: DataFrame, right: DataFrame, counts: DataFrame, keys: str | Sequence[str], n: str, how: str = "inner", heavy_share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, whose ``keys`` are unique, so that no hot key is shuffled to one task.
+
+    ``counts`` names each key with its number ``n`` of rows. Keys with more than one in ``heavy_share`` of all rows are heavy; there
+    are fewer than ``heavy_share`` of them by that definition, so their lines of ``right`` are broadcast. The rows of all
+    other keys are shuffled. Null keys meet nothing. ``left`` is read twice and should be a written table.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    total = counts.agg(F.sum(n)).scalar()
+    heavy = cut_lineage(counts.where(F.col(n) * heavy_share > total).select(*keys))
+    at_hand = right.join(F.broadcast(heavy), keys, "left_semi")
+    of_heavy = left if how == "inner" else left.join(F.broadcast(heavy), keys, "left_semi")
+    of_heavy = of_heavy.join(F.broadcast(at_hand), keys, how)
+    return of_heavy.unionByName(left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how))
+
+
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows drawn by a seeded hash of ``key``: the same for a seed, whatever the partitioning."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
