@@ -5,7 +5,8 @@ first seen. References are first aggregated per table, key and month (count, ear
 side, so the shuffle carries groups instead of rows. Keys that hold more than one in ``heavy_share`` of all references are
 heavy; by that definition there are fewer than ``heavy_share`` of them, so their facts may be broadcast. The facts of all
 other keys are met by a shuffle join. Both parts are united. A group that lies on one side of both facts has a verdict for
-all its rows; only rows of groups that a fact cuts in two are compared one by one.
+all its rows; only rows of groups that a fact cuts in two are compared one by one. Where rows are wanted, those of heavy keys
+meet their facts in the same way, without a shuffle, and only the others are shuffled to their groups.
 """
 
 from __future__ import annotations
@@ -75,7 +76,16 @@ def _reason(t: Column) -> Column:
     )
 
 
-def _judged_groups(refs: DataFrame, facts: DataFrame, heavy_share: int) -> DataFrame:
+@dataclass(frozen=True)
+class _Judged:
+    """Groups of references with their verdicts, ``heavy`` keys apart, and the facts of these."""
+
+    groups: DataFrame
+    heavy: DataFrame
+    heavy_facts: DataFrame
+
+
+def _judged_groups(refs: DataFrame, facts: DataFrame, heavy_share: int) -> _Judged:
     groups = refs.groupBy("src_table", "wanted", "key", "period").agg(
         F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")
     )
@@ -84,24 +94,26 @@ def _judged_groups(refs: DataFrame, facts: DataFrame, heavy_share: int) -> DataF
     per_key = groups.groupBy("key").agg(F.sum("n").alias("n_key"))
     total = groups.agg(F.sum("n")).scalar()
     heavy = cut_lineage(per_key.where(F.col("n_key") * heavy_share > total).select("key"))  # fewer than heavy_share rows, whatever the input
-    heavy_facts = heavy.join(facts, "key", "left")
-    of_heavy = groups.join(F.broadcast(heavy_facts), "key")
-    of_rest = groups.join(F.broadcast(heavy), "key", "left_anti").join(facts, "key", "left")
+    at_hand = facts.join(F.broadcast(heavy), "key", "left_semi")
+    heavy_facts = cut_lineage(heavy.join(F.broadcast(at_hand), "key", "left"))
+    of_heavy = groups.join(F.broadcast(heavy_facts), "key").withColumn("is_heavy", F.lit(True))
+    of_rest = groups.join(F.broadcast(heavy), "key", "left_anti").join(facts, "key", "left").withColumn("is_heavy", F.lit(False))
     judged = of_heavy.unionByName(of_rest)
     first, last = _reason(F.col("t0")), _reason(F.col("t1"))
-    return judged.withColumn("reason", first).withColumn("cut", ~first.eqNullSafe(last))
+    return _Judged(judged.withColumn("reason", first).withColumn("cut", ~first.eqNullSafe(last)), heavy, heavy_facts)
 
 
-def orphans(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) -> DataFrame:
-    """``(src_table, src_row, period, reason)`` of every dangling reference.
+def _rows_of_heavy(refs: DataFrame, judged: _Judged) -> DataFrame:
+    """References to heavy keys, row by row against the facts of these keys, which are at hand; nothing is shuffled."""
+    rows = refs.join(F.broadcast(judged.heavy_facts), "key").withColumn("reason", _reason(F.col("t")))
+    return rows.where("reason is not null").select("src_table", "src_row", "period", "reason")
 
-    ``deleted``: the target was removed at or before the referring row's time; else ``missing``: no row is the target; else
-    ``late``: the target was first seen after that time. Sound references and rows that refer to nothing give no row.
-    Repeated rows each count. Empty tables give an empty result.
-    """
-    groups = _judged_groups(refs, facts, heavy_share).where("reason is not null or cut")
-    groups = groups.select("src_table", "key", "period", "reason", "cut", "first_seen", "first_removed", "present")
-    r = refs.alias("r").join(
+
+def _rows_of_rest(refs: DataFrame, judged: _Judged, which: str) -> DataFrame:
+    """References to other keys, joined with their groups that match ``which``; none of these keys is hot."""
+    groups = judged.groups.where("not is_heavy").where(which).select("src_table", "key", "period", "reason", "cut", "first_seen", "first_removed", "present")
+    rest = refs.join(F.broadcast(judged.heavy), "key", "left_anti")
+    r = rest.alias("r").join(
         groups.alias("g"),
         (F.col("r.src_table") == F.col("g.src_table"))
         & (F.col("r.key") == F.col("g.key"))
@@ -114,14 +126,27 @@ def orphans(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) -> DataF
     return rows.withColumn("reason", verdict).where("reason is not null").select("src_table", "src_row", "period", "reason")
 
 
+def orphans(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) -> DataFrame:
+    """``(src_table, src_row, period, reason)`` of every dangling reference.
+
+    ``deleted``: the target was removed at or before the referring row's time; else ``missing``: no row is the target; else
+    ``late``: the target was first seen after that time. Sound references and rows that refer to nothing give no row.
+    Repeated rows each count. Empty tables give an empty result. Rows that refer to a heavy key are never shuffled.
+    """
+    judged = _judged_groups(refs, facts, heavy_share)
+    return _rows_of_heavy(refs, judged).unionByName(_rows_of_rest(refs, judged, "reason is not null or cut"))
+
+
 def orphan_report(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) -> DataFrame:
     """``(src_table, reason, period, n)``: dangling references per table, reason and month.
 
-    Groups with one verdict are counted as they are; only the rows of groups that a fact cuts in two are read again.
+    Groups with one verdict are counted as they are; only the rows of groups that a fact cuts in two are read again. A fact
+    cuts one month per table, so the cut groups of heavy keys are few and go to the rows; those of other keys are not hot.
     """
-    groups = _judged_groups(refs, facts, heavy_share)
-    whole = groups.where("reason is not null and not cut").select("src_table", "reason", "period", "n")
-    cut = groups.where("cut").select("src_table", "key", "period", "first_seen", "first_removed", "present")
-    rows = refs.join(cut, ["src_table", "key", "period"]).withColumn("reason", _reason(F.col("t"))).where("reason is not null")
-    rows = rows.select("src_table", "reason", "period", F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(rows).groupBy("src_table", "reason", "period").agg(F.sum("n").alias("n"))
+    judged = _judged_groups(refs, facts, heavy_share)
+    columns = ("src_table", "reason", "period")
+    whole = judged.groups.where("reason is not null and not cut").select(*columns, "n")
+    few = judged.groups.where("is_heavy and cut").select("src_table", "key", "period", "first_seen", "first_removed", "present")
+    heavy = refs.join(F.broadcast(few), ["src_table", "key", "period"]).withColumn("reason", _reason(F.col("t"))).where("reason is not null")
+    rows = heavy.select(*columns).unionByName(_rows_of_rest(refs, judged, "cut").select(*columns)).withColumn("n", F.lit(1).cast("long"))
+    return whole.unionByName(rows).groupBy(*columns).agg(F.sum("n").alias("n"))

@@ -59,3 +59,16 @@ def test_empty_tables(spark):
     assert R.orphans(r, f).count() == 0 and R.orphan_report(r, f).count() == 0
     r, f = setup(spark, [(1, "a", 1)])
     assert [x["reason"] for x in R.orphans(r, f).collect()] == ["missing"]
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark):
+    refs = [(i, "hot" if i % 3 == 0 else f"k{i}", i) for i in range(6000)]
+    posts = [(f"k{i}", i + i % 7, "") for i in range(6000)] + [("hot", 2500, "")]
+    r, f = setup(spark, refs, posts, (), [("t3_hot", 4000, None)])
+    judged = R._judged_groups(r, f, 1000)
+    assert [x["key"] for x in judged.heavy.collect()] == ["t3_hot"]
+    hot, rest = R._rows_of_heavy(r, judged), R._rows_of_rest(r, judged, "reason is not null or cut")
+    assert "Exchange hashpartitioning" not in hot._jdf.queryExecution().executedPlan().toString()
+    got = {x["src_row"]: x["reason"] for x in hot.collect()}
+    assert got == {i: "late" if i < 2500 else "deleted" for i in range(0, 6000, 3) if i < 2500 or i >= 4000}
+    assert {x["src_row"] for x in rest.collect()} == {i for i in range(6000) if i % 3 and i % 7}
