@@ -313,27 +313,27 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.filter(pc.match_substring_regex(pc.utf8_lower(b.column(1)), gate))
-            cut = [_CUT.split(html.unescape(x)) for x in own.column(1).to_pylist()]
+            rows = b.filter(pc.match_substring_regex(pc.utf8_lower(b.column(1)), gate))
+            cut = [_CUT.split(html.unescape(x)) for x in rows.column(1).to_pylist()]
             flat = pa.array([m for ms in cut for m in ms], pa.string())
             telling = iter(pc.match_substring_regex(pc.utf8_lower(flat), gate).to_pylist())
             out: list[tuple[int, bool, int, int, list[str], list[int]]] = []
             for i, messages in enumerate(cut):
-                field, names, sizes = False, [], []
+                field = machine = False
                 for message in [m for m in messages if next(telling)]:
                     field = field or unfilled(message)
-                    t = template(spoken(message))
-                    if score(t)[0] not in ("", "around"):
-                        names.append(t)
-                        sizes.append(t.count(" ") + 1)
-                if field or names:
-                    whole = [template(m) for x in messages if (m := spoken(x))] if names else []
-                    around = sum(t.count(" ") + 1 for t in whole if score(t)[0] == "around")
-                    out.append((i, field, sum(t.count(" ") + 1 for t in whole), around, names, sizes))
+                    machine = machine or score(template(spoken(message)))[0] not in ("", "around")
+                if not (field or machine):
+                    continue
+                # such a row is looked at whole: what stands beside a telling message counts too
+                whole = [(t, score(t)[0], t.count(" ") + 1) for x in messages if (m := spoken(x)) and (t := template(m))] if machine else []
+                own = [(t, n) for t, what, n in whole if what not in ("", "around")]
+                around = sum(n for _, what, n in whole if what == "around")
+                out.append((i, field, sum(n for *_, n in whole), around, [t for t, _ in own], [n for _, n in own]))
             c = list(zip(*out, strict=True)) or [[]] * 6
             types = (pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
             columns = [pa.array(list(x), t) for x, t in zip(c[1:], types, strict=True)]
-            yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(c[0], pa.int64())), *columns], names=["key", "field", "words", "around", "templates", "sizes"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(c[0], pa.int64())), *columns], names=["key", "field", "words", "around", "templates", "sizes"])
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _OUT.format(kind=kind))
