@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,13 +47,12 @@ def _mapped(df: DataFrame, schema: str, each: Callable[[object, str], Iterator[t
     types = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [x.strip().split(" ") for x in schema.split(", ")]
     form = pa.schema([(name, types[kind]) for name, kind in fields])
-    names = form.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [r for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in each(k, t)]
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=form)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), form, strict=True)], schema=form)
 
     return df.mapInArrow(run, schema)
 
@@ -108,56 +109,91 @@ def snippets(df: DataFrame, key: str, text: str, term: str, around: int = 100) -
     )
 
 
-# Language that attributes a claim, accuses, or names a standing.
-BEFORE = (
-    r"according to|\bper\b|\bciting\b|\bcitations? from\b|sources? (?:close to|within|inside)|in an interview with|"
-    r"as (?:reported|noted|stated|claimed|argued|explained|pointed out) by"
-)
-AFTER = (
-    r"\b(?:said|says|stated|claims?|claimed|reported|reports|told|confirmed|testified|alleged|revealed|admitted|insisted|warned|tweeted|wrote|explained|noted|"
-    r"releas(?:e|ed|es|ing)|publish(?:es|ed|ing)?|expos(?:e|ed|es|ing)|leak(?:s|ed|ing)?|disclos(?:es|ed|ing)|provid(?:es|ed|ing))\b"
-)
-ACCUSED = r"\b(?:created|made|engineered|built|designed|funded|covered up|hid|lied|manipulated|faked|orchestrated)\b"
-STANDING = (
-    r"(?:\bis an?\b|\bis the\b|,\s*(?:an?|the)\b).{0,40}\b(?:dr\.|ph\.?d\.?|professor|scientist|researcher|expert|specialist|historian|journalist|analyst|"
-    r"investigator|author|physician|veteran|whistleblower|insider)\b"
-)
-_FORMS = {k: re.compile(p, re.I) for k, p in {"before": BEFORE, "after": AFTER, "accused": ACCUSED, "standing": STANDING}.items()}
-
-
-def _nearest(text: str, form: str, at: int, before: bool, reach: int = 120) -> tuple[int, int] | None:
-    """``(distance, where)`` of the form nearest to ``at`` on one side."""
-    lo, hi = (max(0, at - reach), at) if before else (at, min(len(text), at + reach))
-    found = [(at - lo - m.end() if before else m.start(), lo + (m.end() if before else m.start())) for m in _FORMS[form].finditer(text[lo:hi])]
-    return min(found, default=None)
-
-
-def attribution(text: str, start: int, end: int, others: Sequence[str] = ()) -> tuple[str, str]:
-    """``(form, confidence)`` that the entity at these places is cited as a source: high, medium, low or none."""
-    near = {
-        "before": _nearest(text, "before", start, True),
-        "after": _nearest(text, "after", end, False),
-        "standing": _nearest(text, "standing", end, False),
-    }
-    accused = _nearest(text, "accused", end, False)
-    there = {k: v for k, v in near.items() if v}
-    if not there:
+_PAST = {"say": "said", "tell": "told", "write": "wrote", "make": "made", "build": "built", "hide": "hid", "lie": "lied", "cover up": "covered up", "set up": "set up"}
+
+
+def told_forms(verb: str) -> tuple[str, str]:
+    """How a verb tells of someone else: its third person and its past."""
+    first, _, rest = verb.partition(" ")
+    rest = rest and f" {rest}"
+    y = first[-1] == "y" and first[-2] not in "aeiou"
+    third = f"{first[:-1]}ies" if y else f"{first}es" if first.endswith(("sh", "ch", "ss", "x", "z")) else f"{first}s"
+    past = f"{first[:-1]}ied" if y else f"{first}d" if first.endswith("e") else f"{first}ed"
+    return third + rest, _PAST.get(verb, past + rest)
+
+
+@dataclass(frozen=True)
+class Language:
+    """What a caller takes for the naming of a source, for an accusation and for a standing. Verbs are given in their plain form."""
+
+    introducing: tuple[str, ...] = ("according to", "citing", "quoting", "per", "in the words of", "in an interview with", "as reported by", "as stated by", "sources within")
+    reporting: tuple[str, ...] = ("say", "tell", "state", "report", "claim", "confirm", "warn", "write", "announce", "testify", "admit", "publish", "leak", "release", "reveal")
+    accusing: tuple[str, ...] = ("make", "create", "build", "fund", "hide", "lie", "fake", "stage", "rig", "cover up", "set up")
+    #: What may follow an accusing verb without accusing: who "made a point" made nothing up.
+    harmless: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: {"make": ("point", "sense", "statement", "decision", "mistake", "living", "career", "name", "claim", "choice", "difference")})
+    standing: tuple[str, ...] = ("doctor", "dr.", "ph.d.", "professor", "scientist", "researcher", "expert", "historian", "journalist", "engineer", "author", "physician", "veteran", "insider", "whistleblower")
+    #: Signs from a mention to what is said of it, and words up to which it is said with high and with medium confidence.
+    reach: int = 120
+    bands: tuple[tuple[int, str], ...] = ((3, "high"), (8, "medium"))
+
+    def signs(self) -> re.Pattern[str]:
+        """One pattern over all verbs and introductions; the group that matched is the kind of sign."""
+        some = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x)))
+        report = some([f for v in self.reporting for f in told_forms(v)])
+        accuse = "|".join(
+            rf"(?:{some(told_forms(v))})\b" + (rf"(?!\s+(?:an?\s+|the\s+)?(?:{some(self.harmless[v])})s?\b)" if v in self.harmless else "") for v in self.accusing
+        )
+        return re.compile(rf"\b(?:(?P<before>{some(self.introducing)})|(?P<after>{report})|(?P<accused>{accuse}))(?!\w)", re.I)
+
+    def standings(self) -> re.Pattern[str]:
+        nouns = "|".join(re.escape(x) for x in self.standing)
+        return re.compile(rf"(?:,|\bis|\bwas)\s+(?:an?|the)\s+(?:[^\s,]+\s+){{0,5}}?(?:{nouns})(?!\w)", re.I)
+
+
+_ORDINARY = Language()
+
+
+@lru_cache(maxsize=64)
+def _patterns(introducing: tuple[str, ...], reporting: tuple[str, ...], accusing: tuple[str, ...], harmless: tuple[tuple[str, tuple[str, ...]], ...], standing: tuple[str, ...]) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    language = Language(introducing, reporting, accusing, dict(harmless), standing)
+    return language.signs(), language.standings()
+
+
+def attribution(text: str, start: int, end: int, others: Sequence[str] = (), language: Language = _ORDINARY) -> tuple[str, str]:
+    """``(form, confidence)`` that the entity at these places is cited as a source: high, medium, low or none.
+
+    The sign next to the mention gives the form: an introduction ``before`` it, a verb of reporting ``after`` it, or a ``standing``
+    that is claimed for it. Another entity in between, or an accusation nearer than the sign, leaves little of it; a standing
+    claimed for one who is accused is no citation. Else the words in between decide.
+    """
+    signs, standings = _patterns(language.introducing, language.reporting, language.accusing, tuple(sorted(language.harmless.items())), language.standing)
+    low, high = max(0, start - language.reach), min(len(text), end + language.reach)
+    gaps: dict[str, str] = {}  # per kind of sign the words between it and the mention, the fewest signs of text first
+    for m in signs.finditer(text, low, high):
+        kind = m.lastgroup or ""
+        if kind == "before" and m.end() <= start:
+            gaps[kind] = text[m.end() : start]  # a later one lies nearer
+        elif kind != "before" and m.start() >= end:
+            gaps.setdefault(kind, text[end : m.start()])
+    if m := standings.search(text, end, high):
+        gaps["standing"] = text[end : m.start()]
+    accused = gaps.pop("accused", None)
+    if not gaps:
         return "none", "none"
-    form = min(there, key=lambda k: there[k][0])
-    distance, where = there[form]
-    between = text[where:start] if form == "before" else text[end:where]
-    if any(re.search(rf"\b{re.escape(o)}\b", between, re.I) for o in others) or (accused and accused[0] < distance):
+    form = min(gaps, key=lambda k: (len(gaps[k]), k))
+    between = gaps[form]
+    if accused is not None and (form == "standing" or len(accused) < len(between)):
+        return form, "none" if form == "standing" and len(accused) >= len(between) else "low"
+    if others and pattern_of(others).search(between):
         return form, "low"
-    if form == "standing" and accused:
-        return form, "none"
     words = len(between.split())
-    return form, "high" if words <= 3 else "medium" if words <= 8 else "low"
+    return form, next((name for most, name in language.bands if words <= most), "low")
 
 
 CONFIDENCE = ("none", "low", "medium", "high")
 
 
-def attributed(df: DataFrame, key: str, text: str, entities: Mapping[str, Sequence[str]]) -> DataFrame:
+def attributed(df: DataFrame, key: str, text: str, entities: Mapping[str, Sequence[str]], language: Language = _ORDINARY) -> DataFrame:
     """``(key, entity, form, confidence)`` of every mention, sentence by sentence."""
     patterns = {e: pattern_of(f) for e, f in entities.items()}
     kind = df.schema[key].dataType.simpleString()
@@ -167,7 +203,7 @@ def attributed(df: DataFrame, key: str, text: str, entities: Mapping[str, Sequen
             for e, p in patterns.items():
                 others = [f for o, forms in entities.items() if o != e for f in forms]
                 for m in p.finditer(s):
-                    yield k, e, *attribution(s, m.start(), m.end(), others)
+                    yield k, e, *attribution(s, m.start(), m.end(), others, language)
 
     every = [f for forms in entities.values() for f in forms]
     return _mapped(_rows(df, key, text, every), f"key {kind}, entity string, form string, confidence string", each)

@@ -61,6 +61,36 @@ def attribution_confidence(spark: SparkSession, d: str) -> DataFrame:
     return spans.strongest_confidence(spans.attributed(table(spark, d, EMPATH), "delivery_no", "text", ENTITIES))
 
 
+# Sentences in every shape that tells a source from one who is only named, about the names of the nations' table
+_SHAPES = (
+    ("According to {e}, the files are real.", "before", "high"),
+    ("{e} said the leak was real.", "after", "high"),
+    ("{e} did nothing wrong, according to the paper.", "none", "none"),
+    ("{e} is a professor who studies clouds.", "standing", "high"),
+    ("{e}, a researcher at the lab, created the leak.", "standing", "none"),
+    ("{e}, a researcher at the lab, made a point about clouds.", "standing", "high"),
+    ("It was headed by {e}.", "none", "none"),
+    ("According to Rumor, {e} was there.", "before", "low"),
+    ("{e} for once and in front of all the others said so.", "after", "low"),
+    ("{e} hid the map and later confirmed it.", "after", "low"),
+    ("{e} in the same old hall said so.", "after", "medium"),
+)
+_SHAPE = "case " + " ".join(f"when n_nationkey % {len(_SHAPES)} = {i} then {{{i}}}" for i in range(len(_SHAPES))) + " end"
+
+
+@query(
+    "select cast(n_nationkey as bigint) as n_nationkey, " + _SHAPE.format(*(f"'{f}'" for _, f, _ in _SHAPES)) + " as form, " + _SHAPE.format(*(f"'{c}'" for *_, c in _SHAPES)) + " as confidence from nation"
+)
+def attribution_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """One sentence per nation, its name the entity; another name stands in some."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    names = {r["n_name"]: (r["n_name"],) for r in nations.select("n_name").collect()}  # a fixed table of 25
+    shape = F.element_at(F.array(*(F.lit(t) for t, *_ in _SHAPES)), (F.col("n_nationkey") % len(_SHAPES) + 1).cast("int"))
+    rows = nations.select("n_nationkey", F.replace(shape, F.lit("{e}"), F.col("n_name")).alias("text"))
+    found = spans.attributed(rows, "n_nationkey", "text", {**names, "rumor": ("Rumor",)})
+    return found.where("entity != 'rumor'").select(F.col("key").alias("n_nationkey"), "form", "confidence")
+
+
 @query()
 def keyness_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Words around mentions of one entity against those around another, by signed log-likelihood."""
