@@ -70,13 +70,20 @@ def population(
     return first_per_key(rows, [key], [F.col(order), F.col("elasticity_ratio")])
 
 
-def repeat_posters(df: DataFrame, author: str, text: str, bot_name: str = r"(?i)bot$|^auto|_bot_") -> DataFrame:
-    """Per author rows, distinct texts, their ratio, and whether it is likely a bot or a repeat poster."""
-    g = df.where(F.col(author).isNotNull()).groupBy(author).agg(F.count(F.lit(1)).alias("n_comments"), F.countDistinct(text).alias("n_distinct_texts"))
-    g = g.withColumn("dup_ratio", F.try_divide("n_comments", "n_distinct_texts")).withColumn("is_named_bot", F.col(author).rlike(bot_name))
-    likely = F.col("is_named_bot") | F.coalesce(F.col("dup_ratio") >= 20, F.lit(False))
-    g = g.withColumn("is_likely_bot", likely)
-    return g.withColumn("is_repeat_poster", ~F.col("is_likely_bot") & (F.col("n_comments") >= 20) & F.coalesce(F.col("dup_ratio") >= 1.5, F.lit(False)))
+def repeat_posters(df: DataFrame, author: str, text: str, bot_name: str = r"(?i)^automoderator$|bot$", left_out: Sequence[str] = ("[deleted]", "AutoModerator")) -> DataFrame:
+    """Per author rows, distinct texts, their ratio to two places, and whether it is likely a bot or a repeat poster.
+
+    Null authors and those ``left_out`` give no line. An author without any text has no ratio.
+    """
+    rows = df.where(F.col(author).isNotNull() & ~F.col(author).isin(*left_out))
+    g = rows.groupBy(author).agg(F.count(F.lit(1)).alias("n_comments"), F.countDistinct(text).alias("n_distinct_texts"))
+    ratio = F.try_divide("n_comments", "n_distinct_texts")
+    named = F.col(author).rlike(bot_name)
+    likely = named | F.coalesce(ratio >= 20, F.lit(False))
+    repeat = ~likely & (F.col("n_comments") >= 20) & F.coalesce(ratio >= 1.5, F.lit(False))
+    return g.select(
+        author, "n_comments", "n_distinct_texts", F.round(ratio, 2).alias("dup_ratio"), named.alias("is_named_bot"), likely.alias("is_likely_bot"), repeat.alias("is_repeat_poster")
+    )
 
 
 def ladder(value: Column, steps: Sequence[tuple[float, str]], last: str) -> Column:

@@ -216,10 +216,11 @@ def population_unfiltered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with g as (select author, count(*) as n_comments, count(distinct text) as n_distinct_texts, count(*) / nullif(count(distinct text), 0) as dup_ratio, "
-    "regexp_matches(author, '(?i)bot$|^auto|_bot_') as is_named_bot from empath_scores_full where author is not null group by author), "
-    "h as (select *, is_named_bot or coalesce(dup_ratio >= 20, false) as is_likely_bot from g) "
-    "select *, not is_likely_bot and n_comments >= 20 and coalesce(dup_ratio >= 1.5, false) as is_repeat_poster from h"
+    "with g as (select author, count(*) as n_comments, count(distinct text) as n_distinct_texts, count(*) / nullif(count(distinct text), 0) as ratio, "
+    "lower(author) = 'automoderator' or regexp_matches(author, '(?i)bot$') as is_named_bot from empath_scores_full where author not in ('[deleted]', 'AutoModerator') group by author), "
+    "h as (select *, is_named_bot or coalesce(ratio >= 20, false) as is_likely_bot from g) "
+    "select author, n_comments, n_distinct_texts, round(ratio, 2) as dup_ratio, is_named_bot, is_likely_bot, "
+    "not is_likely_bot and n_comments >= 20 and coalesce(ratio >= 1.5, false) as is_repeat_poster from h"
 )
 def dup_ratio_flags(spark: SparkSession, d: str) -> DataFrame:
     return P.repeat_posters(table(spark, d, EMPATH), "author", "text")

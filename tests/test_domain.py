@@ -116,3 +116,26 @@ def test_elasticity_without_comments(spark):
     p = spark.createDataFrame([("a", 5, 0, 1), ("b", 6, None, None), ("c", 8, 4, 0)], "id string, score long, num_comments long, num_crossposts long")
     got = {r["id"]: (r["elasticity_ratio"], r["is_crossposted"]) for r in population.elasticity_flags(p, p.limit(0)).collect()}
     assert got == {"a": (5.0, 1), "b": (6.0, 0), "c": (2.0, 0)}
+
+
+def test_language_is_the_callers():
+    own = spans.Language(reporting=("murmur",), accusing=("brew",), harmless={"brew": ("tea",)}, bands=((1, "high"),))
+    of = lambda t: spans.attribution(t, 0, 4, language=own)
+    assert of("Baba murmured that it rained") == ("after", "high") and of("Baba said that it rained") == ("none", "none")
+    assert of("Baba brews tea and murmurs") == ("after", "low") and of("Baba in March murmured") == ("after", "low")
+    assert spans.attribution("Baba made a point and said so", 0, 4) == ("after", "medium") and spans.attribution("Baba made a bomb and said so", 0, 4) == ("after", "low")
+    assert spans.told_forms("testify") == ("testifies", "testified") and spans.told_forms("cover up") == ("covers up", "covered up")
+
+
+def test_bots_by_name_and_repeats(spark):
+    rows = [("autobahn_fan", f"t{i}") for i in range(3)] + [("news_Bot", "x"), ("AutoModerator", "x"), ("[deleted]", "x"), (None, "x"), ("_bot_x", "x"), ("quiet", None)]
+    rows += [("again", f"t{i % 9}") for i in range(20)] + [("wall", "same")] * 20
+    got = {r["author"]: (r["is_named_bot"], r["is_likely_bot"], r["is_repeat_poster"], r["dup_ratio"]) for r in population.repeat_posters(spark.createDataFrame(rows, "author string, text string"), "author", "text").collect()}
+    assert got == {
+        "autobahn_fan": (False, False, False, 1.0),
+        "news_Bot": (True, True, False, 1.0),
+        "_bot_x": (False, False, False, 1.0),
+        "quiet": (False, False, False, None),
+        "again": (False, False, True, 2.22),
+        "wall": (False, True, False, 20.0),
+    }
