@@ -89,15 +89,24 @@ def word_lift(spark: SparkSession, d: str) -> DataFrame:
     return L.word_lift(table(spark, d, EMPATH), "text", "has_link")
 
 
+_MONTHLY = (
+    "with e as (select author, strftime(make_timestamp(created_utc * 1000000), '%Y-%m') as month, text from empath_scores_full where created_utc is not null and {rows}), "
+    f"w as (select author, month, {_TOK.format(c='text')} as word from e), c as (select month, word, count(*) as w from w where length(word) > 2 group by 1, 2), "
+    "b as (select * from c qualify row_number() over (partition by month order by w desc, word) <= 5000), norm as (select month, sqrt(sum(w * w)) as norm from b group by 1), "
+    "k as (select author, month, word, count(*) as n from w semi join ({chosen}) using ({keys}) where length(word) > 2 group by 1, 2, 3) "
+    "select author, month, sum(n * w) / (sqrt(sum(n * n)) * any_value(norm)) as cosine from k join b using (month, word) join norm using (month) group by 1, 2"
+)
+
+
 @query(
-    f"with b as (select {_TOK.format(c='text')} as word from empath_scores_full), c as (select word, count(*) as n from b where length(word) > 2 group by 1), "
-    "base as (select word, n / (select sum(n) from c) as freq from c order by n desc, word limit 500), "
-    f"a as (select author, {_TOK.format(c='text')} as word from empath_scores_full where author in (select author from empath_scores_full group by author having count(*) >= 5)), "
-    "k as (select author, word, count(*) as n from a where length(word) > 2 group by 1, 2) "
-    "select author, sum(n * freq) / (sqrt(sum(n * n)) * (select sqrt(sum(freq * freq)) from base)) as cosine from k join base using (word) group by author"
+    _MONTHLY.format(
+        rows="text is not null and text not in ('[deleted]', '[removed]')",
+        chosen="select author, month from e where author not in ('[deleted]', '[removed]', 'AutoModerator') group by 1, 2 having count(*) >= 5",
+        keys="author, month",
+    )
 )
 def lexical_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Per author and month of at least five live comments the cosine with that month's words. The SQL still has 500 words of all time."""
+    """Per author and month of at least five live comments the cosine with that month's words."""
     rows = _live_by_month(spark, d)
     active = P.real_authors(rows).groupBy("author", "month").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("author", "month")
     return _monthly_cosine(rows, rows.join(active, ["author", "month"], "left_semi"))
@@ -118,7 +127,7 @@ def _monthly_cosine(rows: DataFrame, scored: DataFrame, top: int = 5000) -> Data
     return g.join(norm, "month").select("author", "month", F.try_divide(F.col("dot"), F.col("own") * F.col("norm")).alias("cosine"))
 
 
-@query()
+@query(_MONTHLY.format(rows="author is not null", chosen="select author from e group by 1 having count(distinct month) >= 12 and count(*) > 50", keys="author"))
 def lifecycle_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Per author and month the cosine with that month's words; authors of several months only."""
     rows = table(spark, d, EMPATH).where("author is not null and created_utc is not null")

@@ -173,12 +173,12 @@ def jn_anti_authors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"with c as (select delivery_no, {_full('id', 't1')} as k, {_full('parent_id', 't1')} as p from empath_scores_full where id is not null), "
-    "one as (select k, p, min(delivery_no) as delivery_no from c group by 1, 2), r as (select *, row_number() over (partition by p order by k) as rn from one where p is not null) "
-    "select a.delivery_no, b.k as sibling from r a join r b on a.p = b.p and a.k <> b.k and b.rn <= 5"
+    "one as (select k, p, min(delivery_no) as delivery_no from c where p is not null group by 1, 2) "
+    "select a.delivery_no, b.k as sibling from one a join one b on a.p = b.p and a.k <> b.k qualify row_number() over (partition by a.k, a.p order by b.k) <= 5"
 )
 def jn_siblings_top5(spark: SparkSession, d: str) -> DataFrame:
     """The first five siblings of every comment. Six candidates per parent are enough, whichever of them is the comment itself, so a
-    large thread gives no square. The SQL still takes the comment out of five."""
+    large thread gives no square."""
     c = table(spark, d, EMPATH).where("id is not null").select("delivery_no", full_name("id", "t1").alias("k"), full_name("parent_id", "t1").alias("p"))
     one = c.groupBy("k", "p").agg(F.min("delivery_no").alias("delivery_no")).where("p is not null")
     six = R.first_per_key(one.select("p", F.col("k").alias("sibling")), ["p"], [F.col("sibling")], 6)
@@ -241,10 +241,15 @@ def ag_mode_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select link_id, string_agg(substr(text, 1, 20), ' ' order by delivery_no) as text from empath_scores_full where text is not null and upvotes > 100 group by link_id"
+    "with t as (select link_id, floor(delivery_no / 4096) as b, delivery_no, text from empath_scores_full where text is not null), "
+    "z as (select link_id, b, sum(length(text) + 1) as n from t group by 1, 2), "
+    "p as (select link_id, b, coalesce(sum(n) over (partition by link_id order by b rows between unbounded preceding and 1 preceding), 0) as before from z), "
+    "q as (select link_id, b, case when before >= 1000000 then before else 0 end as s from p) "
+    "select t.link_id, cast(min(s) as bigint) as start, string_agg(text, ' ' order by delivery_no) as text from t join q on t.b = q.b and t.link_id is not distinct from q.link_id "
+    "group by t.link_id, floor(s / 1000000)"
 )
 def ag_ordered_concat(spark: SparkSession, d: str) -> DataFrame:
-    """The whole texts of every thread in order of delivery; a long thread in several lines. The SQL still has a cut of its own."""
+    """The whole texts of every thread in order of delivery; a long thread in several lines."""
     return R.ordered_concat(table(spark, d, EMPATH), "link_id", "text", "delivery_no")
 
 
