@@ -12,7 +12,6 @@ only look like names (firms, places, streets) occur outside such frames far more
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,8 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import cut_lineage
+
 #: A protected term lies in frames at least twice, in this share of its occurrences at least, and has this many bits.
 LEAST_IN_FRAMES, LEAST_SHARE, LEAST_BITS = 2, 0.08, 4.0
+#: Share of a word's pairs that are known names, and bits, from which it introduces persons.
+LEAST_INTRO, LEAST_INTRO_BITS = 0.4, 1.0
 #: Protected terms up to which the list goes to every task; beyond it, rows are joined with the terms they hold.
 TERMS_AT_HAND = 500_000
 
@@ -39,13 +42,15 @@ _CUE = (
     r"tax[ -]?(?:id|payer (?:id|number)|number|no\.?)|tin|itin|(?:national )?insurance (?:number|no\.?)|ni (?:no\.?|number)|nino|"
     r"passport|reisepass(?:-?nr\.?|nummer)?|passeport|pasaporte|(?:driver['’]?s?|driving)[ -]licen[cs]e|dl|führerschein(?:nummer)?|permis de conduire|"
     r"national[ -]id(?:entity)?(?: (?:number|no\.?|card))?|id[ -]card|personalausweis(?:nummer)?|dni|nie|nif|"
-    r"num[ée]ro de s[ée]cu(?:rit[ée] sociale)?|sozialversicherungsnummer|seguridad social)"
+    r"num[ée]ro de s[ée]cu(?:rit[ée] sociale)?|sozialversicherungsnummer|seguridad social|codice fiscale|sv-?nummer|rentenversicherungsnummer|n(?:um[ée]ro)? insee|c[ée]dula(?: de identidad)?|carta d['’]identità|numéro fiscal)"
 )
-_NUMBER = r"[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d](?!\w)|(?:[a-z]{1,2}[ -]?)?\d(?:[ .-]?\d){5,15}(?:-?[a-z](?!\w))?"
+_NUMBER = r"[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d](?!\w)|(?=(?:[a-z]*\d){4})(?=\d*[a-z])[a-z0-9]{7,16}(?!\w)|(?:[a-z]{1,2}[ -]?)?\d(?:[ .-]?\d){5,15}(?:-?[a-z](?!\w))?"
 ID_NUMBER = re.compile(
     rf"(?<![a-z]){_CUE}(?:\s*(?:no\.?|nr\.?|num(?:ber|éro)?|#|n°|is|:|=))*[\s#:]*(?P<n>{_NUMBER})(?![\w-]*\d)"
-    r"|(?<![\w-])(?P<s>\d{3}-\d{2}-\d{4})(?![\w-])|(?<!\w)(?P<q>qq ?\d{2} ?\d{2} ?\d{2} ?[a-d])(?!\w)"
+    r"|(?<![\w-])(?P<s>\d{3}-\d{2}-\d{4})(?![\w-])|(?<!\w)(?P<q>(?!bg|gb|nk|kn|tn|nt|zz)[a-z]{2}( ?)\d{2}\4\d{2}\4\d{2}\4[a-d]"
+    r"|[a-z]{6}\d{2}[a-ehlmprst]\d{2}[a-z]\d{3}[a-z]|[12] \d{2} (?:0[1-9]|1[0-2]) \d{2} \d{3} \d{3}(?: \d{2})?)(?!\w)"
 )
+_MIXED = re.compile(r"(?<!\w)(?=\d*[a-z])(?:[a-z]*\d){4}")
 _LONG_NUMBER = re.compile(r"\d(?:[ ./()-]{0,2}\d){5}")
 
 _NAMED_DIGITS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
@@ -64,27 +69,33 @@ _SPELT = re.compile("|".join(_NAMED_DIGITS))
 
 _TYPE = r"(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|court|ct|place|pl|boulevard|blvd|mews|way|terrace|ter|square|sq|crescent|close|row|hill|parkway|pkwy)"
 _WORD = r"[^\W\d_][\w'’-]*"
-_NO = (
-    r"(?!(?:and|or|the|of|for|on|in|at|was|is|were|about|from|to|with|that|miles|emails|pages|replies|times|days|accounts|flights|percent|million|dollars|"
-    r"upvotes|samples|minutes)\b)"
+# Little words of the four languages, which are no part of a street's or town's name and end one.
+_LITTLE = (
+    r"(?:and|or|the|a|an|of|for|on|in|at|was|is|are|were|has|had|have|about|from|to|with|that|by|before|after|since|until|when|while|where|who|which|but|so|because|as|if|last|next|"
+    r"yesterday|today|und|oder|ist|war|hat|hatte|vor|nach|seit|bei|mit|letzte[nrs]?|heute|gestern|et|ou|est|avait|avant|après|hier|y|o|es|fue|antes|desde|ayer|hoy)\b"
 )
+_NO = rf"(?!{_LITTLE}|(?:miles?|emails|pages|replies|times|days|years|minutes|hours|accounts|flights|percent|million|dollars|people|samples|votes|upvotes)\b)"
 _UNIT = r"(?:,? ?(?:apt|unit|suite|ste|flat|apartment|no)\.? ?#?\w{1,5}\b|,? ?#\w{1,5})"
-_PLACE = r"(?!(?:on|in|is|was|had|has|before|at|and|for|by|with|that|letzte)\b)[^\W\d_][\w'’-]*"
+_PLACE = rf"(?!{_LITTLE})[^\W\d_][\w'’-]*"
 _TOWN = (
     rf"(?P<town>, \d{{4,5}} {_PLACE}(?: {_PLACE}(?=[.,;|/)\n]))?|, {_PLACE}(?: {_PLACE})?(?:, [a-z]{{2}}(?: \d{{5}}\b|(?=[.;|/)\n]|$))| \d{{4,5}}\b)"
-    rf"|, {_PLACE}(?: {_PLACE})?(?=[.,;|/)\n]| - | has\b| had\b| is\b| before\b| on\b|$))?"
+    rf"|, {_PLACE}(?: {_PLACE})?(?=[.,;|/)\n]| - | {_LITTLE}|$)| \d{{5}} {_PLACE}(?=[.,;|/)\n]| - | {_LITTLE}|$))?"
 )
 _STREETS = (
     # the first sign of each form, and the form; the places before a match are checked apart, so that a search can skip to digits
     (
         "",
         rf"\d{{1,5}}(?: ?[a-z])? (?:{_NO}{_WORD} ){{1,3}}?{_TYPE}\b(?!['’])\.?(?:{_UNIT})?{_TOWN}"
-        rf"|\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|route)(?: (?:de la|de l['’]|des|du|de|d['’]))?"
-        rf"(?:(?: ?{_WORD}){{1,3}}?(?=[.,;|/)\n]| - | is\b| had\b| has\b| before\b| on\b| letzte\b|$)|(?: ?{_WORD}){{1,2}}){_TOWN.replace('town', 'town2')}",
+        rf"|\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|route)\b(?: (?:de la|de l['’]|des|du|de|d['’]))?"
+        rf"(?:(?: ?{_WORD}){{1,3}}?(?=[.,;|/)\n]| - | \d{{5}} | {_LITTLE}|$)|(?: ?{_WORD}){{1,2}}){_TOWN.replace('town', 'town2')}",
     ),
     ("calle ", rf"(?:calle) (?:(?:de la|de los|de las|del|de|las|los|la|el) )?(?:{_WORD},? ){{1,3}}?\d{{1,4}}[a-z]?\b{_TOWN}"),
     ("avenida ", rf"(?:avenida) (?:(?:de la|de los|de las|del|de|las|los|la|el) )?(?:{_WORD},? ){{1,3}}?\d{{1,4}}[a-z]?\b{_TOWN}"),
     ("plaza ", rf"(?:plaza) (?:(?:de la|de los|de las|del|de|las|los|la|el) )?(?:{_WORD},? ){{1,3}}?\d{{1,4}}[a-z]?\b{_TOWN}"),
+    *(
+        (f"{w} ", rf"(?:{w}) (?:(?:de la|de los|de las|del|della|delle|dei|degli|di|de|san|santa|las|los|la|el) )?(?:{_WORD},? ){{1,3}}?(?:n\.? ?)?\d{{1,4}}[a-z]?\b(?=,? \d{{5}}\b|,? [^\W\d_]|[.;|/)\n]|$){_TOWN}")
+        for w in ("paseo", "camino", "carrer", "viale", "piazza", "corso", "via", "vicolo", "largo")
+    ),
     ("am ", rf"am (?:{_WORD} ){{1,3}}?\d{{1,4}}[a-z]?\b(?=, | -|[.;|/)\n]|$){_TOWN}"),
     ("der ", rf"an der (?:{_WORD} ){{1,3}}?\d{{1,4}}[a-z]?\b(?=, | -|[.;|/)\n]|$){_TOWN}"),
     ("zu", rf"zu[mr] (?:{_WORD} ){{1,3}}?\d{{1,4}}[a-z]?\b(?=, | -|[.;|/)\n]|$){_TOWN}"),
@@ -93,21 +104,26 @@ _STREETS = (
     ("", rf"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig) \d{{1,4}} ?(?:[a-z]\b)?{_TOWN}"),
 )
 ADDRESS = tuple((sign, re.compile(form)) for sign, form in _STREETS)
+_COMMON = ("paseo ", "camino ", "carrer ", "viale ", "piazza ", "corso ", "via ", "vicolo ", "largo ")
+_CAPITAL = re.compile(r"[A-ZÀ-Þ][\w'’-]*,? (?:[nN]\.? ?)?\d")  # the word before the number
 _FLAT_BEFORE = re.compile(r"(?:flat|apt\.?|unit|apartment) ?#?\w{1,5}, ?$")
 _JOINED = re.compile(r"[^\W\d_][\w-]*$")
 
-# Words that introduce a person.
+# Words that introduce a person, by any guide to style; others are learnt from the corpus.
 _INTRO = (
-    r"(?:called|named|name is|neighbou?r|landlord|landlady|tenant,?|clerk was|colleague|(?:posted|written|signed|filed) by|doch|[Aa]sk|school with|[Tt]hanks to|"
-    r"signs as|typed|contact|friend|boss|cousin|brother|sister|uncle|aunt|wife|husband|with|is|Herr|Frau|Señora?|M\.|Mme|Mr\.?|Mrs\.?|Ms\.?|Dr\.?)"
+    r"(?:called|named|name is|neighbou?r|landlord|landlady|colleague|(?:posted|written|signed|filed) by|[Aa]sk|[Tt]hanks to|contact|friend|boss|cousin|brother|sister|uncle|aunt|wife|husband|"
+    r"Herr|Frau|Señora?|M\.|Mme|Mr\.?|Mrs\.?|Ms\.?|Dr\.?)"
 )
 _CAP = r"[A-ZÀ-Þ][a-zß-ÿ]+(?:[A-Z][a-z]+)?(?:['’-][A-ZÀ-Þ][a-zß-ÿ]+)*|[A-ZÀ-Þ]['’][A-ZÀ-Þ][a-zß-ÿ]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)*"
 FRAME = re.compile(rf"\b{_INTRO} \(?((?:(?:{_CAP}|[A-ZÀ-Þ]\.) )+)((?:{_CAP}))(?=\W)")
 CARD = re.compile(rf"((?:(?:{_CAP}|[A-ZÀ-Þ]\.) )+)((?:{_CAP}))(?=[;|/,]? ?[;|/,]? ?(?:\+?\(?\d|<?[\w.+-]+ ?[@(\[]|[Ff]ive|[Pp]\.O))")
-REVERSED = re.compile(rf"({_CAP}), ({_CAP}|[A-ZÀ-Þ]\.)(?=[;|/,)] ?)")
 _MAIL_NAME = re.compile(r"(?<![\w.+-])([a-z]{3,})[._]([a-z]{3,})(?:\+\w+)?(?:@| ?[(\[]at[)\]] ?| AT | at )", re.I)
 _GATE1 = rf"[@＠]|[(\[]at[)\]]| AT |\b{_INTRO} \(?[A-ZÀ-Þ]|[a-z][;|/,] ?[+(\d<]"
 
+#: Two capitalised words with a word before them: what may turn out to be an introduction.
+PAIR = re.compile(rf"\b([^\W\d_]{{1,30}}) ({_CAP}) ({_CAP})(?=\W|$)")
+_GATE2 = r"[\pL] [\p{Lu}][\pL'’-]+ [\p{Lu}]"
+
 _PARTS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
@@ -128,40 +144,74 @@ def _frames(text: str) -> Iterator[tuple[str, str]]:
         yield m[2].lower(), "either"
 
 
+_STATISTICS = "term string, intro string, family_name string, n long, given long, family long, either long"
+
+
 def term_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(term, n, given, family, either)`` over all rows: occurrences of each term, and those in each place of a frame."""
+    """Co-occurrence over all rows: ``(term, n, given, family, either)``, the occurrences of each term and those in each place of a
+    frame; and ``(term, intro, family_name, n)``, how often two capitalised words stand together after a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _STATISTICS.split(", ")]
+        kinds = [pa.string()] * 3 + [pa.int64()] * 4
         for b in batches:
-            words = pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(b.column(0)), r"[^\p{L}]+"))
-            counted = pc.value_counts(words)
+            texts = b.column(0)
+            counted = pc.value_counts(pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")))
             term, n = counted.field("values"), counted.field("counts")
-            zero = pa.array([0] * len(term), pa.int64())
-            yield pa.RecordBatch.from_arrays([term.cast(pa.string()), n, zero, zero, zero], names=["term", "n", "given", "family", "either"])
-            met: dict[str, Counter[str]] = {k: Counter() for k in ("given", "family", "either")}
-            for t in b.column(0).filter(pc.match_substring_regex(b.column(0), _GATE1)).to_pylist():
+            none, zero = pa.nulls(len(term), pa.string()), pa.array([0] * len(term), pa.int64())
+            yield pa.RecordBatch.from_arrays([term.cast(pa.string()), none, none, n, zero, zero, zero], names=names)
+            met: dict[tuple[str, str | None, str | None], list[int]] = {}
+            for t in texts.filter(pc.match_substring_regex(texts, _GATE1)).to_pylist():
                 for term_, place in _frames(t):
-                    met[place][term_] += 1
-            names = list({t for c in met.values() for t in c})
-            columns = [pa.array([met[k][t] for t in names], pa.int64()) for k in met]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), *columns], names=["term", "n", "given", "family", "either"])
+                    met.setdefault((term_, None, None), [0, 0, 0, 0])[_PLACES[place]] += 1
+            for t in texts.filter(pc.match_substring_regex(texts, _GATE2)).to_pylist():
+                for m in PAIR.finditer(t):
+                    met.setdefault((m[2].lower(), m[1].lower(), m[3].lower()), [0, 0, 0, 0])[0] += 1
+            rows = [[*k, *v] for k, v in met.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    kind = "term string, n long, given long, family long, either long"
     sums = [F.sum(c).alias(c) for c in ("n", "given", "family", "either")]
-    return rows.mapInArrow(run, kind).where("length(term) > 1").groupBy("term").agg(*sums)
+    return rows.mapInArrow(run, _STATISTICS).where("length(term) > 1").groupBy("term", "intro", "family_name").agg(*sums)
+
+
+_PLACES = {"given": 1, "family": 2, "either": 3}
+
+
+def learnt_frames(statistics: DataFrame, known: DataFrame) -> DataFrame:
+    """``statistics`` of terms with those frames added whose introduction the corpus teaches.
+
+    A word before two capitalised ones introduces persons if these are ``known`` as given and family name in a fair share of its
+    occurrences, ``LEAST_INTRO``, and its pointwise mutual information with such pairs is ``LEAST_INTRO_BITS`` at least.
+    """
+    terms = statistics.where("intro is null").select("term", "n", "given", "family", "either")
+    pairs = statistics.where("intro is not null").select("term", "intro", "family_name", "n")
+    given = known.where("given").select("term", F.lit(1).alias("g"))
+    family = known.where("family").select(F.col("term").alias("family_name"), F.lit(1).alias("f"))
+    j = pairs.join(given, "term", "left").join(family, "family_name", "left")
+    of = j.groupBy("intro").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("g").isNotNull() & F.col("f").isNotNull(), F.col("n")).otherwise(0)).alias("hit"))
+    of = cut_lineage(of)  # one line per word that stands before a pair
+    base = of.agg((F.sum("hit") / F.sum("n")).alias("b")).scalar()
+    share = F.col("hit") / F.col("n")
+    intros = of.where((F.col("hit") >= 3) & (share >= LEAST_INTRO) & (F.log2(share / base) >= LEAST_INTRO_BITS)).select("intro")
+    own = pairs.join(intros, "intro", "left_semi")
+    zero = F.lit(0).cast("long")
+    more = own.select("term", zero.alias("n"), F.col("n").alias("given"), zero.alias("family"), zero.alias("either")).unionByName(
+        own.select(F.col("family_name").alias("term"), zero.alias("n"), zero.alias("given"), F.col("n").alias("family"), zero.alias("either"))
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "given", "family", "either")]
+    return terms.unionByName(more).groupBy("term").agg(*sums)
 
 
 def protected_terms(statistics: DataFrame) -> DataFrame:
     """``(term, given, family, bits)``: terms that disclose a person, and which places in a name they take."""
     inside = F.col("given") + F.col("family") + F.col("either")
-    whole = statistics.agg(F.sum("n"), F.sum(inside)).first()
-    n_all, n_in = (whole[0] or 0), (whole[1] or 0)
-    if not n_in:
-        return statistics.select("term", F.lit(False).alias("given"), F.lit(False).alias("family"), F.lit(0.0).alias("bits")).where("false")
+    whole = statistics.agg(F.sum("n").alias("n_all"), F.sum(inside).alias("n_in"))
+    base = whole.select(F.try_divide(F.col("n_in"), F.col("n_all")).alias("b")).scalar()
     share = F.least(inside / F.greatest("n", F.lit(1)), F.lit(1.0))
     s = statistics.where(inside >= LEAST_IN_FRAMES).withColumn("share", share)
-    s = s.withColumn("bits", F.log2(F.col("share") / F.lit(n_in / n_all)))
+    s = s.withColumn("bits", F.log2(F.col("share") / base))
     s = s.where((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS))
     # a place counts if it is taken in a fair part of the frames that show a place; mail addresses show none
     known = F.col("given") + F.col("family")
@@ -173,6 +223,13 @@ def protected_terms(statistics: DataFrame) -> DataFrame:
     )
 
 
+def corpus_terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """The protected terms of a corpus: from the frames that are known, then again with those that these teach. The texts are read once."""
+    statistics = cut_lineage(term_statistics(df, text))
+    known = cut_lineage(protected_terms(statistics.where("intro is null").drop("intro", "family_name")))
+    return cut_lineage(protected_terms(cut_lineage(learnt_frames(statistics, known))))
+
+
 class Finder:
     """Items in a text. ``terms``: term to (may be given, may be family)."""
 
@@ -185,7 +242,7 @@ class Finder:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def _structured(self, low: str) -> list[tuple[int, int, str]]:
+    def _structured(self, low: str, text: str) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, kind: str) -> None:
@@ -195,10 +252,11 @@ class Finder:
         if "@" in low or "＠" in low or "&#64;" in low or ("dot" in low and "at" in low):
             for m in EMAIL.finditer(low):
                 add(m.start(), m.end(), "email")
-        if long := _LONG_NUMBER.search(low):
+        long = _LONG_NUMBER.search(low)
+        if long or _MIXED.search(low):
             for m in ID_NUMBER.finditer(low):
                 k = next(k for k in ("n", "s", "q") if m[k])
-                if sum(c.isdigit() for c in m[k]) >= 6:
+                if sum(c.isdigit() for c in m[k]) >= 6 or any(c.isalpha() for c in m[k]):
                     add(m.start(k), m.end(k), "id_number")
         for sign, form in ADDRESS:
             if sign in low:
@@ -216,6 +274,8 @@ class Finder:
                         start -= len(word[0])
                     elif before[-1:].isalnum():
                         continue
+                    elif sign in _COMMON and not _CAPITAL.search(text, start, m.end()):
+                        continue  # a word of other use, and no name of a street after it
                     for group in ("town", "town2"):  # a person after an address is no town
                         if form.groupindex.get(group) and m[group] and any(self.terms.get(p, (0, 0))[1] for p in _parts(m[group])):
                             end = m.start(group)
@@ -286,7 +346,7 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow when lowered; places must stay
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        out = self._structured(low)
+        out = self._structured(low, text)
         out += list(self._names(text, low, out))
         return sorted(out)
 
@@ -327,7 +387,7 @@ def sanitised(df: DataFrame, key: str, text: str = "text", at_hand: int = TERMS_
     table gives an empty result; other columns are not read.
     """
     kind = df.schema[key].dataType.simpleString()
-    terms = protected_terms(term_statistics(df, text))
+    terms = corpus_terms(df, text)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     listed = terms.limit(at_hand + 1).collect()  # bounded by the parameter
     if len(listed) <= at_hand:
@@ -344,10 +404,9 @@ def sanitised(df: DataFrame, key: str, text: str = "text", at_hand: int = TERMS_
     joined = rows.join(held, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, own in enumerate(b.column(2).to_pylist()):
-                finder = Finder({x["term"]: (x["given"], x["family"]) for x in own or []})
-                yield from _run(finder, iter([b.slice(i, 1).select([0, 1])]))
+        for b in batches:  # all terms of a batch together: a row holds no other protected term than its own
+            own = {x["term"]: (x["given"], x["family"]) for x in pc.list_flatten(b.column(2)).to_pylist()}
+            yield from _run(Finder(own), iter([b.select([0, 1])]))
 
     return joined.select("key", "text", "terms").mapInArrow(run, _OUT.format(kind=kind))
 

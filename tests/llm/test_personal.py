@@ -85,3 +85,61 @@ def test_empty_and_long(spark):
 def test_letters_that_grow_when_lowered_keep_places():
     text = "İİİ a@b.example"
     assert kinds(text) == [("email", "a@b.example")]
+
+
+# Written after the forms. 21 of 26 were found at first; numbers of letters and digits mixed and Italian words of other use were mended then.
+HELD_OUT = [
+    ("id_number", "My NI is AB 12 34 56 C, keep it", "AB 12 34 56 C"),
+    ("id_number", "national insurance number: JG103759A", "JG103759A"),
+    ("id_number", "passport C01X00T47 was stolen", "C01X00T47"),
+    ("id_number", "Passport No. 533401372", "533401372"),
+    ("id_number", "Reisepass C4VM8KL21 verloren", "C4VM8KL21"),
+    ("id_number", "DNI 12345678Z", "12345678Z"),
+    ("id_number", "NIE: X1234567L", "X1234567L"),
+    ("id_number", "codice fiscale RSSMRA85T10A562S", "RSSMRA85T10A562S"),
+    ("id_number", "numéro de sécurité sociale 2 84 05 75 123 456 78", "2 84 05 75 123 456 78"),
+    ("id_number", "Personalausweis L01X00T471", "L01X00T471"),
+    ("id_number", "her SSN is 219-09-9999", "219-09-9999"),
+    ("id_number", "ITIN 912-91-3457", "912-91-3457"),
+    ("id_number", "driving licence MORGA753116SM9IJ", "MORGA753116SM9IJ"),
+    ("address", "he lives at Via Roma 12, Milano", "Via Roma 12, Milano"),
+    ("address", "spedire a Viale Monza 140, 20127 Milano", "Viale Monza 140, 20127 Milano"),
+    ("address", "Piazza del Duomo 3, Firenze", "Piazza del Duomo 3, Firenze"),
+    ("address", "Calle de Alcalá 45, 28014 Madrid", "Calle de Alcalá 45, 28014 Madrid"),
+    ("address", "Paseo de la Castellana 200, Madrid", "Paseo de la Castellana 200, Madrid"),
+    ("address", "Avenida de América 9, Sevilla", "Avenida de América 9, Sevilla"),
+    ("address", "14 Rue de Rivoli 75001 Paris", "14 Rue de Rivoli 75001 Paris"),
+    ("address", "8 avenue Foch, 75116 Paris", "8 avenue Foch, 75116 Paris"),
+    ("address", "27 boulevard Voltaire, Lyon", "27 boulevard Voltaire, Lyon"),
+    ("address", "Hauptstraße 5, 10115 Berlin", "Hauptstraße 5, 10115 Berlin"),
+    ("address", "Lindenweg 12b, 80331 München", "Lindenweg 12b, 80331 München"),
+    ("address", "221 Baker Street, London", "221 Baker Street, London"),
+    ("address", "Apt 4, 1600 Sunset Blvd, Springfield, IL 62704", "Apt 4, 1600 Sunset Blvd, Springfield, IL 62704"),
+]
+NO_ITEMS = [
+    "sent via email 12 times",
+    "we walked along the corso for 3 hours",
+    "flight AB 1234 was late",
+    "model X1234567 was recalled",
+    "the largo takes 12 minutes",
+    "case C01X00T47 is closed",
+    "via page 12 of the report",
+    "1970 Quail Project denied it",
+    "route 66 and 20 minutes drive",
+]
+
+
+def test_held_out_formats():
+    missed = [(t, kinds(t)) for k, t, want in HELD_OUT if (k, want) not in kinds(t)]
+    assert len(missed) <= 0.1 * len(HELD_OUT), missed
+    assert [t for t in NO_ITEMS if kinds(t)] == []
+
+
+def test_the_corpus_teaches_introductions(spark):
+    names = [(g, f) for g in ("Grace", "Felix", "Nora", "Ivan", "Petra") for f in ("Holloway", "Tanaka", "Marsh", "Okoye", "Lind")]
+    rows = [f"My friend {g} {f} saw it." for g, f in names for _ in range(2)]
+    rows += [f"It was filed under {g} {f} that year." for g, f in names] + ["It was filed under Zelda Quorn twice.", "It was filed under Zelda Quorn again.", "zelda quorn came too"]
+    rows += ["The Baba Holdings report.", "The Hoka Trust board."] * 200 + ["plain words about nothing at all in the archive again"] * 900
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, text string").repartition(3)
+    got = {r["key"]: r["clean"] for r in P.sanitised(df, "k").collect()}
+    assert got[77] == "[NAME] came too" and got[78] == "The Baba Holdings report."
