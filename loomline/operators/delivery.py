@@ -1,9 +1,10 @@
 """Exactly-once view of messages that were delivered at least once.
 
 Identifiers are numbers written in base 36 that producers hand out in sequence. A producer is the block of numbers that
-share all but the last ``seq_digits`` digits. For every producer the acceptor keeps the numbers seen so far as disjoint
+share all but their last bits, as many as hold ``seq_digits`` digits (2,048 numbers for two digits). For every producer the acceptor keeps the numbers seen so far as disjoint
 ranges: a delivery whose number no range covers is accepted and its number merged into the ranges, a covered one is a
-repetition. Identifiers that are not canonical base-36 numbers are resolved by exact lookup of their text.
+repetition. Identifiers that are not canonical base-36 numbers are resolved by their exact text: a task sorts them by text, so
+that equal ones are neighbours and it need remember only one.
 
 The acceptor runs twice. First inside every input partition, in order of delivery and without a shuffle, so that however
 often one identifier was delivered at most one row of it leaves a partition as a candidate. Then the candidates alone are
@@ -60,16 +61,16 @@ def _acceptor(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Over columns number, odd, pos, ok: rows that come with ``ok`` false stay so, the others are accepted or not."""
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, odd = SeenRanges(bits), set()
+        seen, last = SeenRanges(bits), None
         for b in batches:
             ok = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             plain = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(plain & ok)
             ok[rows] = seen.accept(b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64))
-            for i in np.flatnonzero(~plain & ok):
-                key = b.column(1)[int(i)].as_py()
-                ok[i] = key not in odd
-                odd.add(key)
+            rows = np.flatnonzero(~plain & ok)
+            keys = b.column(1).take(pa.array(rows)).to_pylist()
+            ok[rows] = [key != before for before, key in zip([last, *keys], keys, strict=False)]
+            last = keys[-1] if keys else last
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok)], names=b.schema.names)
 
     return accept
@@ -104,10 +105,11 @@ def repeated_deliveries(
     """
     bits = int(np.ceil(np.log2(36.0**seq_digits)))
     keyed = _keyed(df, id_col, pos_col, kind).withColumn("ok", F.lit(True))
-    once = keyed.sortWithinPartitions("pos").mapInArrow(_acceptor(bits), _OUT)
+    order = (F.col("odd").asc_nulls_first(), "pos")  # malformed identifiers by text, all others in order of delivery
+    once = keyed.sortWithinPartitions(*order).mapInArrow(_acceptor(bits), _OUT)
     # Rows turned away already are done with: they are spread evenly, so a hot identifier makes no hot task.
     to = F.when(F.col("ok"), F.coalesce(F.shiftright("number", bits), F.xxhash64("odd"))).otherwise(F.xxhash64("pos"))
-    again = once.repartition(to).sortWithinPartitions("pos").mapInArrow(_acceptor(bits), _OUT)
+    again = once.repartition(to).sortWithinPartitions(*order).mapInArrow(_acceptor(bits), _OUT)
     return again.where("not ok").select("pos")
 
 
