@@ -70,6 +70,7 @@ def _attributes(items: pa.Array) -> pa.Array:
     return pa.MapArray.from_arrays(offsets, names, flat)
 
 
+_MAP = pa.map_(pa.string(), pa.string())
 OUT = "key long, kind string, parent_pos int, pos int, attributes map<string,string>"
 
 
@@ -98,12 +99,12 @@ def _pruned(node: T.DataType, level: Level) -> Level | None:
     return Level(level.kind, level.path, kept)
 
 
-def flatten_nested(df: DataFrame, key: str, column: str, levels: list[Level]) -> DataFrame:
+def flatten_nested(df: DataFrame, key: str, column: str, levels: list[Level], attributes: bool = True) -> DataFrame:
     """One row per object in a list of the struct ``column``: ``(key, kind, parent_pos, pos, attributes)``.
 
     ``pos`` is the object's place in its list from 0; ``parent_pos`` its parent object's place, -1 at the top. Null lists and
     structs give nothing, a null element gives no row but keeps its place, an empty object is an object. ``attributes`` holds
-    the object's scalar fields as text. Levels that the schema lacks give nothing; an empty table gives an empty result.
+    the object's scalar fields as text, and is null if they are not asked for. Levels that the schema lacks give nothing; an empty table gives an empty result.
     """
     schema = df.schema[column].dataType
     levels = [x for y in levels if (x := _pruned(schema, y))]
@@ -114,24 +115,21 @@ def flatten_nested(df: DataFrame, key: str, column: str, levels: list[Level]) ->
             top = pa.array(np.full(len(keys), -1), pa.int32())
             for level in levels:
                 for kind, k, above, pos, items in _open(node, level, keys, top):
-                    yield _batch(k, kind, above, pos, _attributes(items))
+                    yield _batch(k, kind, above, pos, _attributes(items) if attributes else pa.nulls(len(items), _MAP))
 
     return df.select(df[key].cast("long").alias("key"), df[column].alias("node")).mapInArrow(run, OUT)
 
 
 def _object(text: str) -> dict[str, Any] | None:
     """The object that all of ``text`` spells, also where the JSON itself was delivered as a JSON string; else None."""
-    for _ in range(3):
+    while True:  # every decoding takes two quotes away at least
         try:
             value = json.loads(text)
         except (ValueError, RecursionError):
             return None
-        if isinstance(value, dict):
-            return value
         if not isinstance(value, str):
-            return None
+            return value if isinstance(value, dict) else None
         text = value
-    return None
 
 
 def _listed(value: Any) -> list[Any]:
@@ -190,6 +188,6 @@ MEDIA = [
 EMBED = [Level("source", ("sources",), (Level("size", ("sizes",)),))]
 
 
-def post_objects(posts: DataFrame, key: str = "line_no") -> DataFrame:
+def post_objects(posts: DataFrame, key: str = "line_no", attributes: bool = True) -> DataFrame:
     """Every object in a list of a post's ``media`` and ``secure_media_embed``."""
-    return flatten_nested(posts, key, "media", MEDIA).unionAll(flatten_json(posts, key, "secure_media_embed", EMBED))
+    return flatten_nested(posts, key, "media", MEDIA, attributes).unionAll(flatten_json(posts, key, "secure_media_embed", EMBED))

@@ -43,7 +43,7 @@ from {_EMPATH}) where n = 1 or k is null or k = ''"""
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.post_objects(table(spark, d, "r_conspiracy_posts")).select(F.col("key").alias("line_no"), "kind", "parent_pos", "pos")
+    return nesting.post_objects(table(spark, d, "r_conspiracy_posts"), attributes=False).select(F.col("key").alias("line_no"), "kind", "parent_pos", "pos")
 
 
 @query
