@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.relational import first_per_key
+from loomline.operators.relational import first_per_key, quantiles
 
 # Names that are no author of interest.
 NOT_AUTHORS = ("[deleted]", "[removed]", "AutoModerator")
@@ -63,7 +63,7 @@ def population(
     """
     t = threads.where(F.col("is_high_crosspost") == 0)
     if presence is not None:
-        cut = threads.agg(F.expr(f"percentile_disc({p}) within group (order by elasticity_ratio)")).scalar()
+        cut = quantiles(threads, "elasticity_ratio", [p], discrete=True).select(F.col("q")[0]).scalar()
         t = t.where(F.col("elasticity_ratio") <= cut).join(presence.where(F.col("insider_presence_ratio") >= presence_least), thread, "left_semi")
     flagged = brigades.where((F.col("brigade_upvote_flag") == 1) | (F.col("brigade_downvote_flag") == 1)).select(key)
     rows = comments.join(t.select(thread, "elasticity_ratio"), thread).join(flagged, key, "left_anti")

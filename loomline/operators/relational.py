@@ -69,12 +69,43 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with ``name``: the rank of ``value``, tied ones sharing their mean rank; null values have none.
 
-    Ranks are counted over distinct values, so rows do not pass through one ordered task; only a value's count does.
+    Ranks are counted over distinct values in ranges, so that no task orders them all, and go back to the rows by a join that
+    spreads the rows of frequent values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranks, df[value] == ranks["__v"], "left").drop("__v")
+    c = cut_lineage(cumulative(df, value))
+    ranks = c.select(F.col("v").alias(value), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return skew_join(df, ranks, c.select(F.col("v").alias(value), "n"), value, "n", "left").select(*df.columns, name)
+
+
+def cumulative(df: DataFrame, value: str) -> DataFrame:
+    """``(v, n, before)``: each distinct value, its rows, and the rows of all lesser values; null values are left out.
+
+    Values are spread by ranges. A range is added up by itself, and only the ranges' sums, one line per task, pass through one.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = cut_lineage(counts.repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("part").agg(F.sum("n").alias("s"))
+    sums = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sums), "part").select("v", "n", (F.col("start") + inside).alias("before"))
+
+
+def quantiles(df: DataFrame, value: str, at: Sequence[float], discrete: bool = False) -> DataFrame:
+    """One row ``(q)``: the array of exact quantiles, interpolated ones or, if ``discrete``, values that occur; nulls if there is no value."""
+    c = cut_lineage(cumulative(df, value))
+    total = c.agg(F.sum("n")).scalar()
+    upto = F.col("before") + F.col("n")
+    at_rank = lambda r: F.min(F.when(upto > r, F.col("v")))  # noqa: E731  the value of the row with so many rows before it
+    c = c.withColumn("all", total)
+    out = []
+    for q in at:
+        if discrete:
+            out.append(F.min(F.when(upto >= F.lit(q) * F.col("all"), F.col("v"))))
+            continue
+        pos = F.lit(q) * (F.col("all") - 1)
+        low, high = at_rank(F.floor(pos)), at_rank(F.ceil(pos))
+        out.append(low + (high - low) * F.first(pos - F.floor(pos)))
+    return c.agg(F.array(*out).alias("q"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,8 +120,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
 
     Edges are interpolated quantiles, computed once as a scalar. Null values have no bin.
     """
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = df.agg(F.array_distinct(F.percentile(value, at))).scalar()
+    edges = quantiles(df, value, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q")).scalar()
     above = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     out = df.withColumn("__edges", edges)
     return out.withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(above - 1, F.lit(0)))).drop("__edges")

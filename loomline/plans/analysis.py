@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -318,7 +317,4 @@ def stream_day_counts(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events*").parquet(d)
     counts = micro.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_type"])
-    name = f"day_counts_{abs(hash((d, id(stream)))):x}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return micro.run_to_table(counts).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -53,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
-    path = f"{_shared_folder(spark)}/{sc.applicationId}/loomline.zip"
+    path = f"{shared_folder(spark)}/{sc.applicationId}/loomline.zip"
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
     out.write(bytearray(data.getvalue()))
@@ -69,10 +71,13 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediates: the cluster's, or where that is unset, as in local tests, one of this machine."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediates: the cluster's, or where that is unset, one of this machine, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/loomline"
@@ -93,8 +98,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     All executors can read the folder, so losing one of them loses nothing. The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref[DataFrame], str]] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table that :func:`cut_lineage` wrote for ``df``, which nothing may read any more."""
+    ref, path = _WRITTEN.pop(id(df), (lambda: None, ""))
+    if ref() is df:
+        _remove(df.sparkSession, path)

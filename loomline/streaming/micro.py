@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from loomline.functions.identifiers import full_name
+from loomline.session import shared_folder
 
 
 def score_new_files(
@@ -27,6 +29,19 @@ def score_new_files(
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Runs an aggregation over what a stream holds now, to its end, and returns its last result, a table in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/result")
+
+
 def windowed_counts(df: DataFrame, time: str, width: str, keys: list[str], late: str | None = None) -> DataFrame:
     """``(start, keys, n)`` per window of ``width``; on a stream ``late`` says how long a window waits for late rows."""
     d = df.withWatermark(time, late) if late else df

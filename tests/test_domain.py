@@ -139,3 +139,24 @@ def test_bots_by_name_and_repeats(spark):
         "again": (False, False, True, 2.22),
         "wall": (False, True, False, 20.0),
     }
+
+
+def test_quantiles_and_ranks_over_ranges(spark):
+    rows = [(x,) for x in [5, 1, 1, 1, 9, 3, 3, 7, None, 1, 1, 2]]
+    df = spark.createDataFrame(rows, "v int").repartition(3)
+    got = relational.quantiles(df, "v", [0, 0.25, 0.5, 0.9, 1]).first()["q"]
+    want = df.selectExpr("percentile(v, array(0, 0.25, 0.5, 0.9, 1)) as q").first()["q"]
+    assert got == pytest.approx(want)
+    disc = relational.quantiles(df, "v", [0.33, 0.5, 1], discrete=True).first()["q"]
+    assert disc == [df.selectExpr(f"percentile_disc({q}) within group (order by v) as q").first()["q"] for q in (0.33, 0.5, 1)]
+    assert {(r["v"], r["r"]) for r in relational.average_ranks(df, "v", "r").collect()} == {(None, None), (1, 3.0), (2, 6.0), (3, 7.5), (5, 9.0), (7, 10.0), (9, 11.0)}
+    assert relational.quantiles(df.limit(0), "v", [0.5]).first()["q"] == [None]
+
+
+def test_skew_join_equals_join(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(40)] + [(None, 1)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1.0), ("k3", 2.0), ("other", 3.0)], "k string, x double")
+    counts = left.where("k is not null").groupBy("k").count()
+    for how in ("inner", "left"):
+        got = sorted(map(str, relational.skew_join(left, right, counts, "k", "count", how, heavy_share=10).collect()))
+        assert got == sorted(map(str, left.join(right, "k", how).collect()))
