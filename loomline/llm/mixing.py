@@ -43,12 +43,15 @@ def water_fill(weight: np.ndarray, cap: np.ndarray, budget: float) -> np.ndarray
 
 
 def _plan(sizes: DataFrame, targets: DataFrame, budget: int | None) -> DataFrame:
-    """One line per source of either table (there are few): weight, tokens, cap, wanted tokens, repetitions."""
+    """One line per source of ``targets``, a list made by hand: weight, tokens, cap, wanted tokens, repetitions.
+
+    Sources of the documents that are no target have no share and never reach the driver, however many they are.
+    """
     t = targets.select(source_name("source").alias("source"), F.col("target_weight").cast("double").alias("w"), F.col("max_repeats").alias("r"))
     t = t.where("source is not null").groupBy("source").agg(
         F.sum(F.when((F.col("w") > 0) & ~F.isnan("w"), F.col("w")).otherwise(0.0)).alias("w"), F.max(F.greatest("r", F.lit(0))).alias("r")
     )
-    p = sizes.join(t, "source", "full").select("source", "w", "r", "tokens", "docs").toPandas().sort_values("source")
+    p = sizes.join(F.broadcast(t), "source", "right").select("source", "w", "r", "tokens", "docs").toPandas().sort_values("source")
     w, tokens = p["w"].fillna(0.0).to_numpy(float), p["tokens"].fillna(0).to_numpy(float)
     cap = tokens * p["r"].fillna(0).to_numpy(float)
     wanted = water_fill(w, cap, budget if budget is not None else tokens[w > 0].sum())
@@ -84,20 +87,25 @@ def mixture(
     sums = sums.select("source", "bucket", F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = h.withColumn("run", F.sum("n_tokens").over(inside)).join(sums, ["source", "bucket"])
-    ranked = ranked.join(plan.where("wanted > 0").select("source", "whole", "part"), "source")
+    ranked = ranked.join(F.broadcast(plan.where("wanted > 0").select("source", "whole", "part")), "source")
     # a record enters the fraction if at least half of it lies before the end
     extra = (F.col("before") + F.col("run") - F.col("n_tokens") / 2 <= F.col("part")) & (F.col("part") > 0) & (F.col("n_tokens") > 0)
     repeats = (F.col("whole") + extra.cast("long")).cast("int")
     records = ranked.select("doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
     got = records.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.max("repeats").alias("max_used"))
     everything = got.agg(F.sum("actual_tokens")).scalar()
-    report = plan.join(got, "source", "left").select(
+    wanted = plan.agg(F.sum("wanted")).scalar()
+    actual, due = (F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)) for c, total in (("actual_tokens", everything), ("wanted", wanted)))
+    # all sources, those without a target too
+    both = plan.withColumnRenamed("tokens", "own").join(sizes.select("source", F.col("tokens").alias("met")), "source", "full")
+    report = both.join(got, "source", "left").select(
         "source",
-        "target_share",
-        "tokens",
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        F.coalesce("met", "own").alias("tokens"),
         F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"),
-        F.coalesce(F.try_divide(F.col("actual_tokens"), everything), F.lit(0.0)).alias("actual_share"),
+        actual.alias("actual_share"),
+        F.abs(actual - due).alias("share_error"),
         F.coalesce("max_used", F.lit(0)).alias("max_used"),
-        ((F.col("wanted") >= F.col("cap") - 1e-6) & (F.col("wanted") > 0)).alias("clamped"),
+        F.coalesce((F.col("wanted") >= F.col("cap") - 1e-6) & (F.col("wanted") > 0), F.lit(False)).alias("clamped"),
     )
     return records, report

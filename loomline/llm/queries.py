@@ -88,7 +88,7 @@ SQL["p7_terms"] = f"{_TERMS} select term, n, n_rows, mark from m"
 
 @query
 def p7_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return terms.ngram_counts(table(spark, d, "empath_scores_full"), max_n=3).where("n_rows > 2")
+    return terms.marked_terms(table(spark, d, "empath_scores_full"), max_n=3)
 
 
 _WORDS = "(select r, regexp_extract_all(lower(text), '[a-z0-9]+') as w from (select row_number() over () as r, text from empath_scores_full where text is not null))"
@@ -96,7 +96,10 @@ _GRAMS = " union all ".join(
     f"select r, array_to_string(w[i:i + {n - 1}], ' ') as term from (select r, w, unnest(range(1, len(w) - {n} + 2)) as i from {_WORDS} where len(w) >= {n})"
     for n in (1, 2, 3)
 )
-SQL["p7_ngrams"] = f"select term, count(*) as n, count(distinct r) as n_rows from ({_GRAMS}) group by term having count(distinct r) > 2"
+SQL["p7_ngrams"] = (
+    f"with c as (select term, count(*) as n, count(distinct r) as n_rows from ({_GRAMS}) group by term) "
+    "select *, case when n_rows <= 2 then 'rare' when n_rows * 100 > 15 * (select count(text) from empath_scores_full) then 'common' end as mark from c"
+)
 
 
 @query

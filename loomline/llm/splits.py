@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions.identifiers import account, full_name
 from loomline.operators.relational import skew_join
-from loomline.session import cut_lineage
+from loomline.session import cut_lineage, forget
 
 
 #: How much a split's deviation in rows counts against its deviation in rows of one profile.
@@ -54,8 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(stamp.alias("s")).first()["s"]
         if now == before or now[0] == 0:
             break
-        before = now
+        before, old = now, e
         e = cut_lineage(_stars(_stars(e, large=True), large=False))
+        forget(old)
     nodes = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 

@@ -5,7 +5,7 @@ names the tokens that end there. Such a token is the last of its prefix iff it m
 before it, which is so iff the vocabulary's merges leave just these two when they encode their joined bytes. That test
 is kept per pair of tokens. Following the stored tokens back from the end gives the ids, without merging the text itself.
 
-Each Python worker builds the automaton once, from a file whose place is a parameter.
+Each Python worker builds the automaton once, from a file whose place on the driver's machine is a parameter.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker keeps; the store is emptied when it is full, which changes no result.
 KEPT = 200_000
+#: Tests of pairs of tokens that a worker keeps, likewise.
+PAIRS_KEPT = 2_000_000
 
 
 class PrefixEncoder:
@@ -57,6 +60,8 @@ class PrefixEncoder:
     def follows(self, a: int, b: int) -> bool:
         """Whether token b may stand right after token a."""
         if (ok := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= PAIRS_KEPT:
+                self.pairs.clear()
             ok = self.pairs[a, b] = self.merged(self.word[a] + self.word[b]) == [a, b]
         return ok
 
@@ -94,6 +99,12 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+def _shipped(df: DataFrame, path: str) -> str:
+    """Has the vocabulary sent to the workers, which need not have it; its name among the files sent."""
+    df.sparkSession.sparkContext.addFile(path)  # once per application and path
+    return Path(path).name
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``(key, ids)``: the token ids of every row's whole text, without special tokens.
 
@@ -101,9 +112,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = V
     text. Rows stay one to one, repeated ones too; an empty table gives an empty result; other columns are not read.
     """
     kind = df.schema[key].dataType.simpleString()
+    name = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             ids = [np.array(e.encode(t) if t else [], np.int32) for t in b.column(1).to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
@@ -117,9 +129,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = V
 def token_counts(df: DataFrame, keys: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``keys`` and ``n_tokens`` of every row; a null text has none."""
     kinds = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    name = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             n = pa.array([len(e.encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
