@@ -27,7 +27,10 @@ def lexicon_scores(df: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]
 
     terms = {c: Counter(form(t) for t in own) for c, own in lexicon.items()}
     out = df.withColumn("__clean", F.coalesce(spaced(text), F.lit(" ")))
-    out = out.withColumn("__tokens", F.split("__clean", " "))
+    every = sorted({t for own in terms.values() for t in own if t.strip() and " " not in t})
+    # the text's tokens are met once with all terms; categories then look among the few that were met
+    met = F.array_intersect(F.array(*(F.lit(t) for t in every)), F.split("__clean", " ")) if every else F.array().cast("array<string>")
+    out = out.withColumn("__tokens", met)
     for c, own in terms.items():
         total: Column = F.lit(0)
         for times in range(1, max(own.values(), default=0) + 1):

@@ -42,6 +42,22 @@ def cascade(df: DataFrame, key: str, lists: Sequence[tuple[str, DataFrame]], oth
     return df.withColumn("matched", F.coalesce(hit, F.lit(otherwise))).drop(*(f"__k{i}" for i in range(len(lists))))
 
 
+def containments(df: DataFrame, key: str, text: str, names: DataFrame, name: str, gram: int = 3) -> DataFrame:
+    """``(key, name)``: every name of a table that a text contains, anywhere and in any letter case.
+
+    Not every text is compared with every name: both are met by the first ``gram`` letters of the name, which are among the
+    text's runs of so many letters, and only such pairs are compared. Shorter names are met by all they have. Names and texts
+    that are null, and empty names, give nothing; a name listed twice counts once.
+    """
+    own = names.select(F.col(name).alias("name"), F.lower(name).alias("__low")).where(F.length("__low") > 0).distinct()
+    own = own.withColumn("__gram", F.substring("__low", 1, gram))
+    rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.lower(text).alias("__text"))
+    at = F.sequence(F.lit(1), F.length("__text"))
+    runs = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substr(F.col("__text"), i, n)))))
+    met = rows.withColumn("__gram", F.explode(runs)).join(own, "__gram")
+    return met.where(F.contains(F.col("__text"), F.col("__low"))).select("key", "name").distinct()
+
+
 def attribution_class(quote: Column, verb: Column, entity: Column) -> Column:
     """What a text's quotation, reporting verb and entity make together."""
     return (

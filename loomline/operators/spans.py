@@ -97,15 +97,22 @@ def contexts(df: DataFrame, key: str, text: str, entities: Sequence[str], stop:
     return _mapped(_rows(df, key, text, entities), f"key {kind}, word string", each)
 
 
-def snippets(df: DataFrame, key: str, text: str, term: str, around: int = 100) -> DataFrame:
-    """``(key, snippet)``: the text ``around`` the first mention, with ellipses where it is cut. Native expressions only."""
-    rows = df.where(F.contains(F.lower(text), F.lit(term.lower())))
-    at = F.locate(term.lower(), F.lower(F.col(text)))
+def snippets(df: DataFrame, key: str, text: str, term: str, around: int = 100, most: int = 3) -> DataFrame:
+    """``(key, nth, snippet)``: the text ``around`` each of the first ``most`` mentions, with ellipses where it is cut. Native expressions only.
+
+    Mentions do not overlap; a null text and one without the term give no row.
+    """
+    low = F.lower(F.col(text))
+    rows = df.where(F.contains(low, F.lit(term.lower()))).withColumn("__gaps", F.transform(F.split(low, re.escape(term.lower())), F.length))
+    nth = F.explode(F.sequence(F.lit(1), F.least(F.size("__gaps") - 1, F.lit(most))))
+    rows = rows.withColumn("nth", nth)
+    # the texts before a mention and the mentions before it
+    at = F.aggregate(F.slice("__gaps", 1, F.col("nth")), F.lit(0), lambda a, g: a + g) + (F.col("nth") - 1) * len(term) + 1
     start = F.greatest(at - around, F.lit(1))
     stop = F.least(at + len(term) + around, F.length(text) + 1)
     body = F.substr(F.col(text), start, stop - start)
     return rows.select(
-        F.col(key), F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(stop <= F.length(text), "...").otherwise("")).alias("snippet")
+        F.col(key), "nth", F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(stop <= F.length(text), "...").otherwise("")).alias("snippet")
     )
 
 

@@ -100,9 +100,10 @@ def keyness_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with t as (select delivery_no, text, strpos(lower(text), 'archive') as a from empath_scores_full where lower(text) like '%archive%'), "
-    "s as (select *, greatest(a - 100, 1) as b, least(a + 107, length(text) + 1) as e from t) "
-    "select delivery_no, case when b > 1 then '...' else '' end || substr(text, b, e - b) || case when e <= length(text) then '...' else '' end as snippet from s"
+    "with t as (select delivery_no, text, list_transform(string_split(lower(text), 'archive'), lambda x: length(x)) as gaps from empath_scores_full where lower(text) like '%archive%'), "
+    "n as (select *, unnest(range(1, least(len(gaps), 4))) as nth from t), m as (select *, list_sum(gaps[1:nth]) + (nth - 1) * 7 + 1 as a from n), "
+    "s as (select *, cast(greatest(a - 100, 1) as bigint) as b, cast(least(a + 107, length(text) + 1) as bigint) as e from m) "
+    "select delivery_no, cast(nth as int) as nth, case when b > 1 then '...' else '' end || substr(text, b, e - b) || case when e <= length(text) then '...' else '' end as snippet from s"
 )
 def context_snippets(spark: SparkSession, d: str) -> DataFrame:
     return spans.snippets(table(spark, d, EMPATH), "delivery_no", "text", "archive")

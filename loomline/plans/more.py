@@ -57,6 +57,20 @@ def containment_match(spark: SparkSession, d: str) -> DataFrame:
     return t.select("line_no", K.first_contained(F.lower("title"), names, "other").alias("kind"))
 
 
+@query(
+    "with w as (select distinct domain as name from r_conspiracy_posts where domain is not null union select distinct split_part(domain, '.', 1) from r_conspiracy_posts where domain is not null), "
+    "t as (select line_no, lower(url) as u from r_conspiracy_posts where url is not null) "
+    "select line_no, name from t join w on name <> '' and contains(u, lower(name)) qualify row_number() over (partition by line_no order by length(name) desc, name) = 1"
+)
+def containment_join(spark: SparkSession, d: str) -> DataFrame:
+    """The longest name of a table of domains and their first parts that a post's address contains."""
+    posts = table(spark, d, POSTS)
+    own = posts.where("domain is not null").select("domain")
+    names = own.unionAll(own.select(F.split_part("domain", F.lit("."), F.lit(1)).alias("domain")))
+    m = K.containments(posts, "line_no", "url", names, "domain")
+    return R.first_per_key(m, ["key"], [F.desc(F.length("name")), F.col("name")]).select(F.col("key").alias("line_no"), "name")
+
+
 @query(
     "with a as (select r_name as name from region), b as (select n_name as name, n_regionkey as k from nation), q as (select c_custkey, case when c_custkey % 3 = 0 then 'EUROPE' "
     "when c_custkey % 3 = 1 then (select min(n_name) from nation) else 'nowhere' end as name from customer) select c_custkey, case when q.name in (select name from a) then 'region' "

@@ -253,7 +253,9 @@ def ag_ordered_concat(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_concat(table(spark, d, EMPATH), "link_id", "text", "delivery_no")
 
 
-_COUNTS = ("evidence_count", "adversarial_count", "hedge_count", "certainty_count", "alt_authority_count", "intuitive_count")
+_COUNTS = tuple(f"{c}_count" for c in "evidence adversarial hedge certainty alt_authority intuitive pattern meta demand anecdotal quantitative".split()) + (
+    "upvotes", "controversiality", "char_length", "has_link",
+)
 
 
 @query(
@@ -303,26 +305,27 @@ def hhi_specialisation(spark: SparkSession, d: str) -> DataFrame:
     return R.concentration(table(spark, d, EMPATH), "author", "link_id", 3)
 
 
+_METRICS = ("upvotes", "has_link", "controversiality", "evidence_count", "hedge_count", "certainty_count", "char_length")
 _DECILES = ", ".join(f"{i / 10}" for i in range(11))
 
 
 @query(
     f"with e as (select list_sort(list_distinct(quantile_cont(char_length, [{_DECILES}]))) as edges from empath_scores_full), "
-    "b as (select greatest(len(list_filter(edges, lambda x: x < char_length)) - 1, 0) as bin, upvotes, has_link from empath_scores_full, e where char_length is not null) "
-    "select cast(bin as int) as bin, count(*) as n, avg(upvotes) as mean_upvotes, avg(has_link) as link_share from b group by 1"
+    "b as (select greatest(len(list_filter(edges, lambda x: x < char_length)) - 1, 0) as bin, * exclude (edges) from empath_scores_full, e where char_length is not null) "
+    f"select cast(bin as int) as bin, count(*) as n, {', '.join(f'avg({c}) as mean_{c}' for c in _METRICS)} from b group by 1"
 )
 def qcut_deciles(spark: SparkSession, d: str) -> DataFrame:
     b = R.quantile_bins(table(spark, d, EMPATH), "char_length", 10).where("bin is not null")
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("upvotes").alias("mean_upvotes"), F.avg("has_link").alias("link_share"))
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in _METRICS))
 
 
 @query(
     "with t as (select delivery_no, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from empath_scores_full where text is not null) "
-    "select w, count(*) as n from t where w in ('archive', 'report', 'footage', 'baba', 'mirror') group by w"
+    "select w, count(*) as n from t group by w"
 )
 def ag_entity_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, EMPATH).where("text is not null").select(F.explode(F.array_distinct(T.words("text"))).alias("w"))
-    return rows.where(F.col("w").isin("archive", "report", "footage", "baba", "mirror")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -49,3 +49,11 @@ def test_topics_with_null_and_far_vectors(spark):
     threads = spark.createDataFrame([(2, 9)], "t long, topic long")
     assert {r["t"]: r["topic"] for r in topics.with_fallback(own, threads, "t").collect()} == {1: 4, 2: 9, 3: -1}
     assert topics.nearest_centroid(d, "id", "v", c.limit(0), "label").where("topic = -1").count() == 5
+
+
+def test_containments(spark):
+    rows = spark.createDataFrame([(1, "The Hum of Norda"), (2, "nothing"), (3, None), (4, ""), (5, "ab"), (1, "The Hum of Norda")], "k long, t string")
+    names = spark.createDataFrame([("hum",), ("NORDA",), ("ab",), ("a",), ("",), (None,), ("hum",), ("of norda x",)], "name string")
+    got = sorted(map(tuple, K.containments(rows, "k", "t", names, "name").collect()))
+    want = sorted({(k, n) for k, t in ((1, "the hum of norda"), (2, "nothing"), (5, "ab")) for n in ("hum", "NORDA", "ab", "a") if n.lower() in t})
+    assert got == want and K.containments(rows.limit(0), "k", "t", names, "name").count() == 0
