@@ -133,6 +133,7 @@ def orphans(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) -> DataF
     ``late``: the target was first seen after that time. Sound references and rows that refer to nothing give no row.
     Repeated rows each count. Empty tables give an empty result. Rows that refer to a heavy key are never shuffled.
     """
+    refs = cut_lineage(refs)  # spellings are resolved once
     judged = _judged_groups(refs, facts, heavy_share)
     return _rows_of_heavy(refs, judged).unionByName(_rows_of_rest(refs, judged, "reason is not null or cut"))
 
@@ -143,6 +144,7 @@ def orphan_report(refs: DataFrame, facts: DataFrame, heavy_share: int = 1000) ->
     Groups with one verdict are counted as they are; only the rows of groups that a fact cuts in two are read again. A fact
     cuts one month per table, so the cut groups of heavy keys are few and go to the rows; those of other keys are not hot.
     """
+    refs = cut_lineage(refs)  # spellings are resolved once
     judged = _judged_groups(refs, facts, heavy_share)
     columns = ("src_table", "reason", "period")
     whole = judged.groups.where("reason is not null and not cut").select(*columns, "n")
