@@ -52,7 +52,7 @@ def cascade(p_other: Column, p_hostile_if_clear: Column) -> list[Column]:
 
 
 def cross_validated(df: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """``(fold, n, agreement, kappa)``: held-out agreement per fold; folds are cut by a seeded hash within each class."""
+    """``(fold, n, agreement, kappa)``: held-out agreement per fold; folds are cut by a seeded hash of the key, whatever the class."""
     from loomline.session import cut_lineage
 
     d = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
