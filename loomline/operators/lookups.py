@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.operators import statistics as S
+from loomline.session import cut_lineage
 
 
 def by_priority(lists: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -42,18 +43,28 @@ def cascade(df: DataFrame, key: str, lists: Sequence[tuple[str, DataFrame]], oth
     return df.withColumn("matched", F.coalesce(hit, F.lit(otherwise))).drop(*(f"__k{i}" for i in range(len(lists))))
 
 
-def containments(df: DataFrame, key: str, text: str, names: DataFrame, name: str, gram: int = 3) -> DataFrame:
+def containments(df: DataFrame, key: str, text: str, names: DataFrame, name: str, gram: int = 3, at_hand: int = 64 << 20) -> DataFrame:
     """``(key, name)``: every name of a table that a text contains, anywhere and in any letter case.
 
-    Not every text is compared with every name: both are met by the first ``gram`` letters of the name, which are among the
-    text's runs of so many letters, and only such pairs are compared. Shorter names are met by all they have. Names and texts
+    Not every text is compared with every name: both are met by the first letters of the name, ``gram`` of them, or 4, 16 or 64
+    times as many if the name has them, which are among the text's runs of so many letters, and only such pairs are compared.
+    Shorter names are met by all they have. Runs are made only of the numbers of letters that names are met by. Names and texts
     that are null, and empty names, give nothing; a name listed twice counts once.
+
+    The names are written once and measured: up to ``at_hand`` bytes they go to the tasks, and no text is shuffled; beyond that both
+    are shuffled. The runs, about a hundred times the texts, are never broadcast, however small Spark takes the texts to be.
     """
     own = names.select(F.col(name).alias("name"), F.lower(name).alias("__low")).where(F.length("__low") > 0).distinct()
-    own = own.withColumn("__gram", F.substring("__low", 1, gram))
+    n = F.length("__low")
+    head = F.coalesce(*(F.when(n >= gram * k, gram * k) for k in (64, 16, 4, 1)), n)
+    own = cut_lineage(own.withColumn("__gram", F.substring("__low", F.lit(1), head)))
+    size = F.sum(F.octet_length("name") + F.octet_length("__low") + F.octet_length("__gram") + 64)
+    known = own.agg(size.alias("size"), F.collect_set(F.length("__gram")).alias("heads")).first()
     rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.lower(text).alias("__text"))
-    at = F.sequence(F.lit(1), F.length("__text"))
-    runs = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substr(F.col("__text"), i, n)))))
+    # found by a look ahead, in one pass: a substring by its position is looked for from the text's start
+    runs = [F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sorted(known["heads"])]
+    runs = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
+    own = F.broadcast(own) if (known["size"] or 0) <= at_hand else own.hint("merge")
     met = rows.withColumn("__gram", F.explode(runs)).join(own, "__gram")
     return met.where(F.contains(F.col("__text"), F.col("__low"))).select("key", "name").distinct()
 

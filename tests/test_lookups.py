@@ -57,3 +57,38 @@ def test_containments(spark):
     got = sorted(map(tuple, K.containments(rows, "k", "t", names, "name").collect()))
     want = sorted({(k, n) for k, t in ((1, "the hum of norda"), (2, "nothing"), (5, "ab")) for n in ("hum", "NORDA", "ab", "a") if n.lower() in t})
     assert got == want and K.containments(rows.limit(0), "k", "t", names, "name").count() == 0
+
+
+def _wide(spark, path):
+    """Two tables whose files let Spark expect less of the texts than of the names."""
+    pad = [F.lit("x").alias(f"c{i}") for i in range(30)]
+    spark.range(400).select(F.col("id").alias("k"), F.concat(F.lit("https://www.site"), F.col("id") % 90, F.lit(".example.org/"), F.md5(F.col("id").cast("string"))).alias("t"), *pad).write.parquet(f"{path}/t")
+    spark.range(3000).select(F.concat(F.lit("www.Site"), "id", F.lit(".example.org")).alias("name")).write.parquet(f"{path}/n")
+    return spark.read.parquet(f"{path}/t"), spark.read.parquet(f"{path}/n")
+
+
+def test_runs_of_texts_are_never_broadcast(spark, tmp_path):
+    rows, names = _wide(spark, tmp_path)
+    want = sorted((i, f"www.Site{i % 90}.example.org") for i in range(400))
+    for at_hand, join in ((64 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        got = K.containments(rows, "k", "t", names, "name", at_hand=at_hand)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "BuildLeft" not in plan and ("Broadcast" in plan) == (at_hand > 0)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_names_that_begin_alike_meet_few_texts(spark, tmp_path, monkeypatch):
+    rows, names = _wide(spark, tmp_path)
+    monkeypatch.setattr(F, "contains", lambda a, b: F.lit(True))  # so that all pairs that are compared come out
+    assert K.containments(rows, "k", "t", names, "name").count() < 400 * 3000 / 20
+
+
+@pytest.mark.parametrize("at_hand", [0, 64 << 20])
+def test_containments_of_any_length(spark, at_hand):
+    base = "".join(chr(97 + i * i % 26) + ("é" if i % 7 == 0 else "😀" if i % 11 == 0 else "Ab\n."[i % 4]) for i in range(150))
+    texts = [(i, t) for i, t in enumerate([base, base[::-1], base[5:], "x" + base[:40], "😀", "😀é", "a", "", None, "?😀 ?", base.upper()])]
+    names = [base[s : s + n] for n in (1, 2, 3, 4, 11, 12, 13, 47, 48, 49, 191, 192, 193, 299) for s in (0, 1, 6, 100)] + ["?", "😀", "", None, "no such name"]
+    rows, own = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(n,) for n in names], "name string")
+    got = sorted(map(tuple, K.containments(rows, "k", "t", own, "name", at_hand=at_hand).collect()))
+    assert got == sorted({(k, n) for k, t in texts if t for n in names if n and n.lower() in t.lower()})
+    assert K.containments(rows, "k", "t", own.limit(0), "name", at_hand=at_hand).collect() == []
